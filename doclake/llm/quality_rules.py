@@ -92,24 +92,25 @@ def measures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     )
 
 
-def _rule(bad: Column, good: Column) -> Column:
-    return F.when(F.col("n_words") == 0, 0).when(bad, -1).when(good, 1).otherwise(0).cast("int")
+def _rule(bad: Column, good: Column | None = None) -> Column:
+    out = F.when(F.col("n_words") == 0, 0).when(bad, -1)
+    return (out if good is None else out.when(good, 1)).otherwise(0).cast("int")
 
 
 def rules() -> dict[str, Column]:
-    """Votes by name, over the columns of measures()."""
+    """Votes by name, over the columns of measures(). Rules that look for a fault abstain where they find none."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     symbols, upper, marks, digits = F.col("n_symbols") / chars, F.col("n_upper") / chars, F.col("n_marks") / words, F.col("n_digits") / chars
     repeats, lines, length = F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") / words
     return {
-        "symbols": _rule(symbols > 0.1, symbols < 0.03),
-        "capitals": _rule(upper > 0.4, upper < 0.15),
-        "marks": _rule(marks > 0.3, marks < 0.1),
-        "digits": _rule(digits > 0.3, digits < 0.1),
-        "repeats": _rule(repeats > 0.3, repeats < 0.1),
-        "lines": _rule(lines > 0.3, lines < 0.1),
-        "word_length": _rule((length < 2.5) | (length > 12), (length > 3.5) & (length < 9)),
-        "length": _rule(F.col("n_words") < 20, F.col("n_words") >= 50),
+        "symbols": _rule(symbols > 0.1),
+        "capitals": _rule(upper > 0.4),
+        "marks": _rule(marks > 0.3),
+        "digits": _rule(digits > 0.3),
+        "repeats": _rule(repeats > 0.3),
+        "lines": _rule(lines > 0.3),
+        "word_length": _rule((length < 2) | (length > 15), (length > 3.5) & (length < 10)),
+        "length": _rule(F.col("n_words") < 5, F.col("n_words") >= 50),
     }
 
 
@@ -117,37 +118,46 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents, and per rule how often its vote is right on (good, bad) ones: expectation-maximisation.
+#: Where expectation-maximisation starts: the share of good documents; how often a rule votes bad, and good, on a good and on a bad one.
+SHARE, BAD, GOOD = 0.8, (0.02, 0.4), (0.9, 0.6)
+Rates = list[tuple[tuple[float, float], tuple[float, float]]]
 
-    patterns: documents by votes. It starts from the majority of the votes; rules are held to be better than chance.
+
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, Rates]:
+    """The share of good documents, and per rule how often it votes (bad, good) on (good, bad) ones: expectation-maximisation.
+
+    patterns: documents by votes. Abstaining tells nothing, and a vote is held to be no likelier on the other kind. The starting
+    values stay as a prior that weighs as much as all documents; without it, votes that go together would decide what is good.
     """
-    n = len(next(iter(patterns), ()))
-    share, right = 0.8, [(0.9, 0.7)] * n
+    n, total = len(next(iter(patterns), ())), sum(patterns.values())
+    prior_good, prior_bad = total * SHARE, total * (1 - SHARE)
+    share, rates = SHARE, [(BAD, GOOD)] * n
     for _ in range(rounds):
-        good_sum, total = 1.0, 2.0
-        hits = [[4.5, 5.0, 3.5, 5.0] for _ in range(n)]
+        good, bad = prior_good, prior_bad
+        votes_of = [[[prior_good * r[0], prior_bad * r[1]] for r in (BAD, GOOD)] for _ in range(n)]
         for votes, count in patterns.items():
-            p = posterior_of(votes, share, right)
-            good_sum, total = good_sum + p * count, total + count
-            for h, v in zip(hits, votes):
+            p = posterior_of(votes, share, rates)
+            good, bad = good + p * count, bad + (1 - p) * count
+            for own, v in zip(votes_of, votes):
                 if v:
-                    h[0] += p * count * (v > 0)
-                    h[1] += p * count
-                    h[2] += (1 - p) * count * (v < 0)
-                    h[3] += (1 - p) * count
-        share = min(0.999, max(0.001, good_sum / total))
-        right = [(min(0.999, max(0.501, a / b)), min(0.999, max(0.501, c / d))) for a, b, c, d in hits]
-    return share, right
-
-
-def _weights(share: float, right: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
+                    own[v > 0][0] += p * count
+                    own[v > 0][1] += (1 - p) * count
+        share = good / (good + bad)
+        least = lambda x: min(0.9999, max(0.0001, x))
+        rates = []
+        for (a, b), (c, d) in votes_of:
+            a, b, c, d = least(a / good), least(b / bad), least(c / good), least(d / bad)
+            rates.append(((min(a, b), b), (c, min(c, d))))
+    return share, rates
+
+
+def _weights(share: float, rates: Rates) -> tuple[float, list[tuple[float, float]]]:
     """The prior's log odds, and each rule's for a vote of good and of bad."""
-    return math.log(share / (1 - share)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in right]
+    return math.log(share / (1 - share)), [(math.log(g[0] / g[1]), math.log(b[0] / b[1])) for b, g in rates]
 
 
-def posterior_of(votes: tuple[int, ...], share: float, right: list[tuple[float, float]]) -> float:
-    prior, weights = _weights(share, right)
+def posterior_of(votes: tuple[int, ...], share: float, rates: Rates) -> float:
+    prior, weights = _weights(share, rates)
     odds = prior + sum(w[0] if v > 0 else w[1] for v, w in zip(votes, weights) if v)
     return 1 / (1 + math.exp(-odds))
 
