@@ -23,7 +23,7 @@ DIMENSIONS = 1024
 SEED = 7
 UNKNOWN = "und"
 #: Documents less like any language are rejected by the filter.
-MIN_SCORE = 0.05
+MIN_SCORE = 0.02
 
 
 @lru_cache(1)

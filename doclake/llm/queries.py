@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, simhash, token_counts, token_store
+from . import decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store
 from .common import given_id
 
 
@@ -72,7 +72,7 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash)
+    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash)
     return {f.__name__: f for f in own}
 
 
