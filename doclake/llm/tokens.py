@@ -9,8 +9,8 @@ whole text. The memo is a cache of bounded size and never changes a result.
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import string
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -46,31 +46,44 @@ class Encoder:
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         self.mapped = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         self.lead = level.pre_tokenize_str(" ")[0][0] if self.blanks else ""
-        self.marks = {m: self.whole(m) for m in ",."}
-        self.pieces = _Pieces(self._after_blank if self.blanks else self._word)
+        self.marks = _Pieces(self.whole)
+        self.line_end = self.whole("\n")
+        self.firsts = _Pieces(self._first)
+        self.pieces = _Pieces(self._after_blank if self.blanks else self._first)
         self.others = _Pieces(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _model(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str, lead: str) -> bytes:
+        """A word of letters alone, which the model sees as one."""
+        if self.blanks:
+            return array("I", [t.id for t in self.model.tokenize(lead + word.translate(self.mapped))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word.lower().translate(self.mapped))]).tobytes()
+
+    def _made(self, piece: str, lead: str, words: _Pieces) -> bytes:
+        """Letters and the marks after them are apart in both patterns; all else goes through the whole tokenizer."""
+        if piece.isalpha():
+            if max(piece) < "Ā":
+                return self._word(piece, lead)
+        else:
+            word = piece.rstrip(string.punctuation)
+            if len(word) < len(piece) and word.isalpha():
+                return words[word] + self.marks[piece[len(word) :]]
+        return self.whole(" " + piece if lead else piece)
+
+    def _first(self, piece: str) -> bytes:
+        return self._made(piece, "", self.firsts if self.blanks else self.pieces)
 
     def _after_blank(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if piece[-1] in self.marks and piece[:-1].isalpha():
-            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
-        if piece.isalpha() and max(piece) < "Ā":
-            return self._model(self.lead + piece.translate(self.mapped))
-        return self.whole(" " + piece)
-
-    def _word(self, piece: str) -> bytes:
-        if piece and piece[-1] in self.marks and piece[:-1].isalpha():
-            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
-        if piece.isalpha() and max(piece) < "Ā":
-            return self._model(piece.lower().translate(self.mapped))
-        return self.whole(piece)
+        if "\n" in piece:
+            # A line end between two characters that are not white space is a token of its own.
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                return self.pieces[lines[0]] + b"".join(self.line_end + self.firsts[x] for x in lines[1:])
+        return self._made(piece, self.lead, self.pieces)
 
     def parts(self, text: str) -> list[str]:
         """The text in pieces between which no token lies, each with the blank before it."""
