@@ -2,8 +2,8 @@
 
 Texts become token ids; those longer than a sequence are cut into full pieces, the first of which takes the rest. From
 here only a histogram of lengths (at most `size` numbers) is needed for the plan: large lengths are sorted and dealt into groups of
-equal cardinality, each rounded up to its longest; few sizes have few configurations, and these are chosen from the
-fullest downwards as often as the groups allow; the real pieces then take the places of their group; small pieces
+equal cardinality, each rounded up to its longest; few sizes have few configurations, and for the
+largest size that is left the fullest one is taken as often as the groups allow; the real pieces then take the places of their group; small pieces
 fill what is left by best fit, longest first. The plan is a list of runs (a pattern of real lengths, how many sequences have
 it). The k-th piece of a length finds its place in it by k alone, so pieces are numbered where they are.
 
@@ -86,13 +86,13 @@ class _Bins:
 
 
 def _fullest(sizes: list[int], left: list[int], size: int) -> list[int]:
-    """How often to take each rounded size so that the sum is as near to size as can be."""
-    best: dict[int, tuple[int, ...]] = {0: ()}
-    for g, s in sorted(enumerate(sizes), key=lambda x: -x[1]):
-        if not left[g]:
-            continue
+    """How often to take each rounded size: the largest that is left, and with it what comes nearest to size."""
+    order = sorted((g for g in range(len(sizes)) if left[g]), key=lambda g: -sizes[g])
+    best: dict[int, tuple[int, ...]] = {sizes[order[0]]: (order[0],)}
+    for g in order:
+        s, have = sizes[g], left[g] - (g == order[0])
         for total, chosen in list(best.items()):
-            for times in range(1, min(left[g], (size - total) // s) + 1):
+            for times in range(1, min(have, (size - total) // s) + 1):
                 best.setdefault(total + times * s, (*chosen, *[g] * times))
     take = [0] * len(sizes)
     for g in best[max(best)]:
