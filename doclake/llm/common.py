@@ -82,6 +82,25 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFr
     return joined.withColumn(out, (F.col(base) + F.coalesce(F.sum(value).over(own), F.lit(0))).cast("long")).drop(part, base)
 
 
+#: A key of more rows is heavy; so many heavy keys may be broadcast.
+HEAVY, MOST_HEAVY = 1000, 50_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """left joined to right, whose keys are unique and whose column `rows` counts a key's rows in left.
+
+    Rows of a heavy key are not shuffled: the heavy keys alone are broadcast, if there are few enough of them; else the join is
+    left to AQE. left should be cheap to read twice.
+    """
+    right = stored(right, "counted")
+    heavy, n = right.where(F.col(rows) > HEAVY), right.where(F.col(rows) > HEAVY).limit(MOST_HEAVY + 1).count()
+    if not 0 < n <= MOST_HEAVY:
+        return left.join(right.drop(rows), key)
+    top = F.broadcast(heavy.drop(rows))
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col(rows) <= HEAVY).drop(rows), key)
+    return left.join(top, key).unionByName(light)
+
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

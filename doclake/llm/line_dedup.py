@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import repeated
-from .common import NO_ID, as_bytes, fresh, narrow, stored
+from .common import NO_ID, as_bytes, fresh, join_counted, narrow, stored
 
 #: White space that is stripped: space and \x09-\x0D.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -63,10 +63,9 @@ def first_documents(docs: DataFrame, min_chars: int = MIN_CHARS, slices: int = S
 
     found = stored(docs.mapInArrow(suspects, "key binary, doc_id long"), "suspected-lines")
     # Smallest and largest id combine before the shuffle, so a line of very many documents is a few rows.
-    confirmed = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    confirmed = confirmed.where("first < last").select("key", "first")
-    # Keys are unique on the confirmed side; a hot key's rows on the other are split by AQE.
-    lost = found.join(confirmed, "key").where("doc_id <> first").select("doc_id", "key")
+    confirmed = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
+    confirmed = confirmed.where("first < last").select("key", "first", "rows")
+    lost = join_counted(found, confirmed, "key", "rows").where("doc_id <> first").select("doc_id", "key")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
