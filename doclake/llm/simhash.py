@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, as_bytes, fresh, given_id, narrow, stored
+from .common import NO_ID, as_bytes, fresh, given_id, join_counted, narrow, stored
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 GROUPS = 6
@@ -176,13 +176,12 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", cell: int = CELL) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of docs."""
     found = stored(fingerprints(narrow(docs, id_col, text_col)), "fingerprints")
-    points = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    points = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "points")
     roots = components(links(points.select("fp"), cell)).select(F.col("node").alias("fp"), "root")
     placed = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(least, "root").select("fp", "component_id")
-    # One row a fingerprint on this side; a fingerprint of very many copies is split by AQE on the other.
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = placed.join(least, "root").select("fp", "component_id", "rows")
+    return join_counted(found, by_fp, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", cell: int = CELL) -> DataFrame:

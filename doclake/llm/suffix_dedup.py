@@ -20,8 +20,8 @@ Sorts deal rows by range, and a class keeps one row, its earliest so far, howeve
 step 3 is complete for what it leaves. Hashes of 64 bits stand for bytes where rows that the order or the anchor has brought
 together are compared.
 
-Null text: empty. Null id: the largest, null in results. Rows that share an id are one after another in the order of
-their bytes; equal ones are one text. Texts shorter than LENGTH stay. Very long texts are read in pieces of CHUNK bytes.
+Null text: empty. Null id: the largest, null in results. Rows that share an id are in the order of their texts; equal rows are
+one text, and each is written. Texts shorter than LENGTH stay. Very long texts are read in pieces of CHUNK bytes.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import repeated
-from .common import as_bytes, given_id, mix, narrow, shuffle_width, stored
+from .common import as_bytes, given_id, join_counted, mix, narrow, prefix_sums, shuffle_width, stored
 
 LENGTH, GRAM = 100, 32
 #: Windows that are looked at together.
@@ -393,8 +393,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slices: int
 
     found = stored(docs.select("doc_id", "text").mapInArrow(suspects, _STRETCH), "stretches")
     # Equal texts: the first stands for all. A text of very many copies is one row a task before it is shuffled.
-    firsts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    copies = found.select("doc_id", "digest").distinct().join(firsts, "digest").where("doc_id <> first").select("doc_id")
+    texts = found.select("doc_id", "digest").distinct()
+    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("first < last")
+    copies = join_counted(texts, firsts.select("digest", "first", "rows"), "digest", "rows").where("doc_id <> first").select("doc_id")
     copies = stored(copies, "copies")
     single = found.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").drop("digest")
 
@@ -446,6 +447,18 @@ def _cut(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[list[tu
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGTH, gram: int = GRAM, slices: int = SLICES, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans array<struct<start,end long>> of bytes, kept binary: a row for each text."""
     own = narrow(docs, id_col, text_col)
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _removed(own, length, gram, slices, crowded).withColumn("doc_id", given_id())
+    # Ids that are shared: each different text gets a number of its own, in the order of (id, text).
+    texts = prefix_sums(own.distinct().withColumn("one", F.lit(1)), ["doc_id", "text"], "one", "number")
+    texts = stored(texts.select("number", F.col("doc_id").alias("given"), F.col("text").alias("own_text")), "numbered")
+    found = _removed(texts.select(F.col("number").alias("doc_id"), F.col("own_text").alias("text")), length, gram, slices, crowded)
+    rows = own.join(texts, (F.col("doc_id") == F.col("given")) & F.col("text").eqNullSafe(F.col("own_text"))).select("number", "given")
+    found = rows.join(found.withColumnRenamed("doc_id", "number"), "number").withColumn("doc_id", given_id("given"))
+    return found.select("doc_id", "n_bytes", "n_removed", "spans", "kept")
+
+
+def _removed(own: DataFrame, length: int, gram: int, slices: int, crowded: int) -> DataFrame:
     runs = repeats(own, length, gram, slices, crowded)
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     joined = own.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "runs")
@@ -460,5 +473,4 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
                 rows.append((doc, len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    out = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn("doc_id", given_id())
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
