@@ -1,7 +1,7 @@
 """Every registered query against its SQL, or at least its schema."""
 
 import pytest
-from conftest import rows
+from tools import rows
 
 from doclake.plans import registry
 
