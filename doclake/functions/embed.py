@@ -21,7 +21,7 @@ def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def embed_text(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Feature hashing: token counts by bucket, scaled to length 1; null where there is no token."""
-    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double"))
+    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: (F.size(b) - F.size(F.array_remove(b, k))).cast("double"))
     unit = lambda c: F.transform(c, lambda x: (x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))).cast("float"))
     one = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  computed once
     found = one(F.transform(tokens(text), lambda t: bucket(t, dimensions)), lambda b: F.when(F.size(b) > 0, one(counts(b), unit)))

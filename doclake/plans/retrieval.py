@@ -36,10 +36,11 @@ def _buckets(source: str, keys: str) -> str:
         from (select {keys}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from {source})) group by all)"""
 
 
-@query("embed_text", f"select item_id, bucket, round(weight, 5) as weight from ({_buckets('benchmark', 'item_id')})")
+@query("embed_text", f"select doc_id, bucket, round(weight::float::double, 4) as weight from ({_buckets('documents', 'doc_id')})")
 def _(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(embed.embed_text(F.col("text"))).alias("bucket", "w")).where("w <> 0")
-    return rows.select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 5).alias("weight"))
+    embedded = table(spark, sf, "documents").select("doc_id", embed.embed_text(F.col("text")).alias("vector"))
+    rows = embedded.select("doc_id", F.posexplode("vector").alias("bucket", "w")).where("w <> 0")
+    return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 4).alias("weight"))
 
 
 @query("embed_image")
@@ -50,14 +51,13 @@ def _(spark, sf):
 
 @query(
     "embed_messages",
-    f"""with parts as (select item_id, item_id // 4 as message_id, text from benchmark), b as ({_buckets("parts", "message_id, item_id")}),
-      sizes as (select message_id, count(*) as n from parts group by message_id)
-      select message_id, bucket, round(sum(weight) / any_value(n), 5) as weight from b join sizes using (message_id) group by message_id, bucket""",
+    f"""with b as ({_buckets("conversations", "conv_id, turn")}), sizes as (select conv_id, count(distinct turn) as n from b group by conv_id)
+      select conv_id, bucket, round(sum(weight::float::double) / any_value(n), 4) as weight from b join sizes using (conv_id) group by conv_id, bucket""",
 )
 def _(spark, sf):
-    parts = table(spark, sf, "benchmark").select(F.floor(F.col("item_id") / 4).cast("long").alias("message_id"), embed.embed_text(F.col("text")).alias("vector"))
-    rows = embed.embed_messages(parts).select("message_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
-    return rows.select("message_id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 5).alias("weight"))
+    parts = table(spark, sf, "conversations").select("conv_id", embed.embed_text(F.col("text")).alias("vector"))
+    rows = embed.embed_messages(parts, "conv_id").select("conv_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
+    return rows.select("conv_id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 4).alias("weight"))
 
 
 # Collections.
