@@ -6,8 +6,9 @@ Merkle root over them; the manifest has the Merkle root of each recipe file, ove
 documents together again, and fails on a chunk, document or file that does not have its address or root.
 
 Files, all Parquet, under one folder:
-  chunks/    address binary(16), n_ids long, ids binary: zstd of the ids as little-endian unsigned 16 or 32-bit integers
-             (the first byte is the width)
+  chunks/    a row for each place of a chunk: address binary(16), doc_id, root, k, n_chunks, n_ids, ids. Under first=1 are those
+             with ids, one for each address: zstd of little-endian unsigned 16 or 32-bit integers, after a byte that is the
+             width. Under first=0, all others, ids is null
   recipes/   in ascending doc_id over its files: doc_id, start (ids of all documents before), n_tokens, addresses, root
   manifest/  a row for each recipe file: file, first and last doc_id, documents, root
 
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, given_id, narrow, prefix_sums, scratch_root, stored
+from .common import NO_ID, given_id, narrow, prefix_sums, scratch_root
 from .tokens import encoder, vocabulary
 
 END_ID = 2
@@ -133,10 +134,10 @@ def write_store(docs: DataFrame, folder: str, id_col="doc_id", text_col="text",
     path = path or vocabulary("word_bpe_49k.json")
     rows = chunked(narrow(docs, id_col, text_col), path, end_id)
     dealt = rows.repartition("address").sortWithinPartitions("address", F.col("ids").isNull()).mapInArrow(_first_has_ids, _CHUNK)
-    placed = stored(dealt, "placed-chunks")
-    placed.where("ids is not null").select("address", "n_ids", "ids").write.option("compression", "none").parquet(f"{folder}/chunks")
+    first = F.col("ids").isNotNull().cast("int")
+    dealt.withColumn("first", first).write.option("compression", "none").partitionBy("first").parquet(f"{folder}/chunks")
     # From here on rows have no ids, only addresses.
-    recipe = placed.groupBy("doc_id", "root").agg(
+    recipe = _chunks(spark, folder).groupBy("doc_id", "root").agg(
         F.array_sort(F.collect_list(F.struct("k", "address", "n_ids", "n_chunks"))).alias("parts")
     )
     recipe = recipe.withColumn("copies", (F.size("parts") / F.element_at("parts", 1)["n_chunks"]).cast("int"))
@@ -150,6 +151,10 @@ def write_store(docs: DataFrame, folder: str, id_col="doc_id", text_col="text",
     manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{_CHUNK}, first int").parquet(f"{folder}/chunks")
+
+
 def manifest(recipes: DataFrame) -> DataFrame:
     """A row for each recipe file, with the Merkle root over its documents' roots."""
 
@@ -176,7 +181,7 @@ def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) from the files alone, each chunk and document verified."""
-    recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
+    recipes, chunks = spark.read.parquet(f"{folder}/recipes"), _chunks(spark, folder).where("first = 1")
     wanted = recipes.select("start", F.posexplode("addresses").alias("k", "address"))
     # Addresses are unique on the side of the chunks; one that very many documents want is split by AQE on the other.
     parts = wanted.join(chunks.select("address", "ids"), "address", "left").groupBy("start").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
