@@ -16,7 +16,8 @@ start). Strings are judged on the input, as UTF-8 bytes, and never cross texts.
 3. Edges. Phrases that are first in their class may still share single windows where a repeat begins or ends. They meet by anchor,
    and their windows are compared one by one; an anchor of very many such phrases is dealt out by window.
 
-Sorts deal rows by range, and a class keeps one row, its earliest so far, however many rows pass. Step 2 only has to be sound, as
+Sorts deal rows by even ranges of hashes, what a text repeats itself is one row of a sort, and a class keeps one row, its
+earliest so far, however many rows pass. Step 2 only has to be sound, as
 step 3 is complete for what it leaves. Hashes of 64 bits stand for bytes where rows that the order or the anchor has brought
 together are compared.
 
@@ -33,15 +34,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import repeated
 from .common import as_bytes, given_id, join_counted, mix, narrow, prefix_sums, shuffle_width, stored
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 40
 #: Windows that are looked at together.
-CHUNK = 1 << 22
+CHUNK = 1 << 17
 #: 128 slices of 256 KiB: the broadcast filter has 32 MiB.
 SLICES = 128
 #: Anchors of more phrases are dealt out by window.
@@ -76,14 +77,15 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def phrases(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of the first window, anchor, hash of the anchor) for each phrase; windows start before len(text) - length + 1."""
-    windows = len(text) - length + 1
-    starts, anchors, hashes = [], [], []
-    data = np.frombuffer(text, np.uint8)
-    width = length - gram + 1
-    for base in range(0, max(0, windows), CHUNK):
-        part = data[base : min(windows, base + CHUNK) + length - 1]
+def phrases_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, first window, end of windows, anchor, hash of the anchor) for each phrase of the texts that lie one after another in data.
+
+    Places count from the start of data.
+    """
+    total, width = len(data) - length + 1, length - gram + 1
+    starts, anchors, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for base in range(0, max(0, total), CHUNK):
+        part = data[base : min(total, base + CHUNK) + length - 1]
         n = len(part) - gram + 1
         h = _hash_at(_words(part), gram, n)
         # The upper half of the hash, and the place: so equal ones go to the first.
@@ -92,30 +94,48 @@ def phrases(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         starts.append(new + base)
         anchors.append(at[new] + base)
         hashes.append(h[at[new]])
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     start, anchor, h = np.concatenate(starts), np.concatenate(anchors), np.concatenate(hashes)
-    first = np.concatenate([[True], anchor[1:] != anchor[:-1]])  # a phrase may go on in the next chunk
-    return start[first], anchor[first], h[first]
+    first = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)]  # a phrase may go on in the next chunk
+    start, anchor, h = start[first], anchor[first], h[first]
+    # Windows lie within one text: runs are cut where a text's windows begin and end.
+    text = np.flatnonzero(np.diff(offsets) >= length)
+    begin, end = offsets[text], offsets[text + 1] - length + 1
+    cuts = np.unique(np.concatenate([start, begin, end]))
+    stop = np.concatenate([cuts[1:], [max(total, 0)]])[: len(cuts)]
+    own = np.searchsorted(begin, cuts, "right") - 1
+    inside = (own >= 0) & (cuts < end[own]) if len(text) else np.zeros(len(cuts), bool)
+    cuts, stop, own = cuts[inside], stop[inside], own[inside]
+    run = np.searchsorted(start, cuts, "right") - 1
+    return text[own], cuts, stop, anchor[run], h[run]
+
+
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each begins and the last ends; null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
 
 
 _STRETCH = "doc_id long, digest binary, block int, start long, sizes binary, offsets binary, data binary"
 _STRETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("start", pa.int64()), ("sizes", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary())])
 
 
-def _stretches(doc: int, text: bytes, suspect: Callable[[np.ndarray], np.ndarray], length: int, gram: int) -> Iterator[tuple]:
-    start, anchor, h = phrases(text, length, gram)
-    if not len(start):
-        return
-    marked = suspect(h)
-    if not marked.any():
+def _stretches(docs: list[int], column: pa.Array, suspect: Callable[[np.ndarray], np.ndarray], length: int, gram: int) -> Iterator[tuple]:
+    data, offsets = _buffer(column)
+    text, start, stop, anchor, h = phrases_of(data, offsets, length, gram)
+    block = np.arange(len(text)) - np.searchsorted(text, text)
+    marked = np.flatnonzero(suspect(h))
+    if not len(marked):
         return
-    digest = hashlib.blake2b(text, digest_size=16).digest()
-    ends = np.concatenate([start[1:], [len(text) - length + 1]])
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        own = slice(a, b)
-        yield doc, digest, a, int(start[a]), (ends[own] - start[own]).astype("<u2").tobytes(), (anchor[own] - start[own]).astype("<u2").tobytes(), text[start[a] : ends[b - 1] + length - 1]
+    edges = np.flatnonzero((np.diff(marked) > 1) | (text[marked[1:]] != text[marked[:-1]])) + 1
+    size, offset, raw = (stop - start).astype("<u2"), (anchor - start).astype("<u2"), data.tobytes()
+    digests: dict[int, bytes] = {}
+    for a, b in zip(marked[np.concatenate([[0], edges])].tolist(), (marked[np.concatenate([edges - 1, [len(marked) - 1]])] + 1).tolist()):
+        t = int(text[a])
+        if t not in digests:
+            digests = {t: hashlib.blake2b(raw[offsets[t] : offsets[t + 1]], digest_size=16).digest()}
+        yield docs[t], digests[t], int(block[a]), int(start[a] - offsets[t]), size[a:b].tobytes(), offset[a:b].tobytes(), raw[start[a] : stop[b - 1] + length - 1]
 
 
 class Stretch:
@@ -151,38 +171,106 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def _gathered(rows: Iterator[tuple], schema: dict[str, pa.DataType], size: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Tuples of arrays, joined to batches."""
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += len(row[0])
-        if n >= size:
-            yield _arrow({k: np.concatenate(c) for k, c in zip(schema, zip(*held))}, **schema)
-            held, n = [], 0
-    if n:
-        yield _arrow({k: np.concatenate(c) for k, c in zip(schema, zip(*held))}, **schema)
+_TRIPLE = "a long, b long, c long, doc_id long, block int, more binary"
+_KINDS = {"block": pa.int32(), "head": pa.int32(), "order": pa.int32(), "more": pa.binary()}
+
+
+def _combined(block: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """Of rows with equal keys the one with the least block, and the others' blocks: so what a text repeats is one row."""
+    order = np.lexsort((block, *keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    starts = np.flatnonzero(new)
+    ends = np.concatenate([starts[1:], [len(order)]])[: len(starts)]
+    more: list[bytes | None] = [None] * len(starts)
+    for g in np.flatnonzero(ends - starts > 1).tolist():
+        more[g] = block[order[starts[g] + 1 : ends[g]]].astype("<i4").tobytes()
+    return order[starts], more
+
+
+def _expanded(doc: np.ndarray, block: np.ndarray, name: np.ndarray, more: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that _combined joined, by text and block."""
+    several = np.flatnonzero(~more.is_null().to_numpy(zero_copy_only=False))
+    if len(several):
+        others = [np.frombuffer(more[k].as_py(), "<i4") for k in several.tolist()]
+        again = np.repeat(several, [len(x) for x in others])
+        doc, name, block = np.concatenate([doc, doc[again]]), np.concatenate([name, name[again]]), np.concatenate([block, *others])
+    order = np.lexsort((block, doc))
+    return doc[order], block[order], name[order]
+
+
+def _whole_texts(batches) -> Iterator[pa.Table]:
+    """Rows sorted by doc_id, put together so that a text's are in one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        doc = table.column("doc_id").to_numpy()
+        cut = int(np.searchsorted(doc, doc[-1]))  # the last text may go on
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _symbols(table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, block, symbol, prefix) of all phrases of a table of stretches; each ends with its last bytes' symbol, prefix 0."""
+    symbols: list[int] = []
+    prefixes: list[int] = []
+    counts = []
+    for sizes, offsets, data in zip(*(table.column(k).to_pylist() for k in ("sizes", "offsets", "data"))):
+        stretch = Stretch(sizes, offsets, data, length)
+        symbols += stretch.symbols()
+        prefixes += stretch.prefixes()
+        prefixes.append(0)
+        counts.append(len(stretch.sizes) + 1)
+    stretch = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return stretch, table.column("block").to_numpy()[stretch] + place, _signed(symbols), _signed(prefixes)
 
 
-_TRIPLE = "a long, b long, c long, doc_id long, block int"
-_KINDS = {"doc_id": pa.int64(), "block": pa.int32(), "order": pa.int32()}
+def _shifted(values: np.ndarray, owner: np.ndarray, by: int) -> np.ndarray:
+    """values `by` places on, 0 where the owner ends."""
+    out = np.zeros_like(values)
+    same = np.flatnonzero(owner[:-by] == owner[by:])
+    out[same] = values[same + by]
+    return out
 
 
 def _first_triples(batches, length: int) -> Iterator[pa.RecordBatch]:
     """Of the sample's positions: three symbols."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        stretch, block, symbol, _ = _symbols(batch, length)
+        b, c = _shifted(symbol, stretch, 1), _shifted(symbol, stretch, 2)
+        sample = np.flatnonzero(block % 3)
+        kept, more = _combined(block[sample], symbol[sample], b[sample], c[sample], stretch[sample])
+        kept = sample[kept]
+        doc = batch.column("doc_id").to_numpy()[stretch[kept]]
+        yield _arrow({"a": symbol[kept], "b": b[kept], "c": c[kept], "doc_id": doc, "block": block[kept], "more": more}, **_KINDS)
+
+
+def _share(hash_: Column, parts: int) -> Column:
+    """Which of so many equal ranges of 64-bit numbers it falls in."""
+    return F.shiftright((F.shiftright(hash_, 33) + (1 << 30)) * parts, 31).cast("int")
 
-    def rows():
-        for doc, block, sizes, offsets, data in _rows(batches, "doc_id", "block", "sizes", "offsets", "data"):
-            symbols = _signed([*Stretch(sizes, offsets, data, length).symbols(), 0, 0])
-            at = np.arange(len(symbols) - 2)
-            at = at[(at + block) % 3 != 0]
-            yield symbols[at], symbols[at + 1], symbols[at + 2], np.full(len(at), doc), (at + block).astype(np.int32)
 
-    yield from _gathered(rows(), {"a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "doc_id": pa.int64(), "block": pa.int32()})
+def _part(name: Column) -> Column:
+    """The range in which a name was given."""
+    return F.shiftright(name, 40).cast("int")
 
 
-def _named(triples: DataFrame) -> DataFrame:
-    """(doc_id, block, name): equal triples get one name, and names are in the order of the triples."""
+def _named(triples: DataFrame, part: Column) -> DataFrame:
+    """(doc_id, block, more, name): equal triples get one name, and names are in the order of the triples.
+
+    part: the range of a triple by its first number; ranges are even, as that is a hash or was given range by range.
+    """
 
     def name(batches) -> Iterator[pa.RecordBatch]:
         # Partitions are in the order of their ranges.
@@ -194,93 +282,90 @@ def _named(triples: DataFrame) -> DataFrame:
             new = np.concatenate([[last is None or (own[:, 0] != last).any()], (own[:, 1:] != own[:, :-1]).any(0)])
             names = number + np.cumsum(new)
             number, last = int(names[-1]), own[:, -1]
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(names)], names=["doc_id", "block", "name"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(names)], names=["doc_id", "block", "more", "name"])
 
-    width = shuffle_width(triples.sparkSession)
-    dealt = triples.repartitionByRange(width, "a", "b", "c").sortWithinPartitions("a", "b", "c")
-    return dealt.mapInArrow(name, "doc_id long, block int, name long")
+    dealt = triples.repartitionById(shuffle_width(triples.sparkSession), part).sortWithinPartitions("a", "b", "c")
+    return dealt.mapInArrow(name, "doc_id long, block int, more binary, name long")
 
 
 def _next_triples(batches) -> Iterator[pa.RecordBatch]:
-    """From names sorted by place: those of a position and of three and six phrases on, 0 where the stretch has ended."""
-    held: list[np.ndarray] = []
-
-    def of(doc, block, name) -> pa.RecordBatch:
+    """From names sorted by text: those of a position and of three and six phrases on, 0 where the stretch has ended."""
+    for table in _whole_texts(batches):
+        doc, block, name = _expanded(*(table.column(k).to_numpy() for k in ("doc_id", "block", "name")), table.column("more").combine_chunks())
         out = [name]
         for steps in (2, 4):  # of three successive positions two are in the sample
             later = np.zeros_like(name)
             same = np.flatnonzero((doc[:-steps] == doc[steps:]) & (block[:-steps] + steps * 3 // 2 == block[steps:]))
             later[same] = name[same + steps]
             out.append(later)
-        return _arrow({"a": out[0], "b": out[1], "c": out[2], "doc_id": doc, "block": block}, **_KINDS)
+        kept, more = _combined(block, *out, doc)
+        yield _arrow({"a": out[0][kept], "b": out[1][kept], "c": out[2][kept], "doc_id": doc[kept], "block": block[kept], "more": more}, **_KINDS)
 
-    for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
-        if not batch.num_rows:
-            continue
-        rows = [np.concatenate(x) for x in zip(held, rows)] if held else rows
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last text may go on
-        held = [r[cut:] for r in rows]
-        if cut:
-            yield of(*(r[:cut] for r in rows))
-    if held:
-        yield of(*held)
 
+_ORDER = "order int, a long, b long, c long, prefix long, doc_id long, block int, head int"
 
-_ORDER = "order int, a long, b long, c long, prefix long, doc_id long, block int"
 
+def _first_here(stretch: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Phrases whose windows are new within their stretch."""
+    order = np.lexsort((np.arange(len(prefix)), prefix, stretch))
+    new = np.ones(len(order), bool)
+    new[1:] = (prefix[order][1:] != prefix[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])
+    out = np.zeros(len(order), bool)
+    out[order[new]] = True
+    return out
 
-def _orders(batches, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the three orders, from each text's names and stretches: sorted by text, names first."""
 
-    def rows():
-        doc_now, blocks, names = None, np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in batches:
-            docs, kinds, at, name = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("doc_id", "kind", "block", "name"))
-            sizes, offsets, data = (batch.column(batch.schema.get_field_index(k)) for k in ("sizes", "offsets", "data"))
-            for part in np.split(np.arange(len(docs)), np.flatnonzero((docs[1:] != docs[:-1]) | (kinds[1:] != kinds[:-1])) + 1):
-                if not len(part):
-                    continue
-                doc = int(docs[part[0]])
-                if not kinds[part[0]]:
-                    fresh_names = name[part].astype(np.int64), at[part]
-                    names, blocks = (np.concatenate([names, fresh_names[0]]), np.concatenate([blocks, fresh_names[1]])) if doc == doc_now else fresh_names
-                    doc_now = doc
-                    continue
-                for k in part.tolist():
-                    stretch, block = Stretch(sizes[k].as_py(), offsets[k].as_py(), data[k].as_py(), length), int(at[k])
-                    symbols, prefixes = _signed(stretch.symbols()), _signed(stretch.prefixes())
-                    n = len(prefixes)
-                    own = np.zeros(n + 3, np.int64)
-                    lo, hi = np.searchsorted(blocks, [block, block + n + 1])
-                    own[blocks[lo:hi] - block] = names[lo:hi]
-                    place = np.arange(n)
-                    residue = (place + block) % 3
-                    zero = np.zeros(n, np.int64)
-                    for order, without, key in ((0, 0, (own[:n], zero, zero)), (1, 2, (symbols[:n], own[1 : n + 1], zero)), (2, 1, (symbols[:n], symbols[1 : n + 1], own[2 : n + 2]))):
-                        take = residue != without
-                        m = int(take.sum())
-                        yield np.full(m, order, np.int32), key[0][take], key[1][take], key[2][take], prefixes[take], np.full(m, doc), (place[take] + block).astype(np.int32)
-
-    yield from _gathered(rows(), {"order": pa.int32(), "a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "prefix": pa.int64(), "doc_id": pa.int64(), "block": pa.int32()})
+def _orders(batches, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the three orders, from each text's names and stretches, sorted by text."""
+    for table in _whole_texts(batches):
+        kind = table.column("kind").to_numpy()
+        own = table.filter(pa.array(kind == 1)).combine_chunks()
+        names = table.filter(pa.array(kind == 0)).combine_chunks()
+        if not own.num_rows:
+            continue
+        more = names.column("more").combine_chunks() if names.num_rows else pa.array([], pa.binary())
+        doc, at, name = _expanded(*(names.column(k).to_numpy() for k in ("doc_id", "block", "name")), more)
+        stretch, block, symbol, prefix = _symbols(own, length)
+        docs, heads = own.column("doc_id").to_numpy()[stretch], own.column("block").to_numpy()[stretch]
+        # Names are found by text and place.
+        known = np.unique(docs)
+        kept = np.isin(doc, known)
+        where = (np.searchsorted(known, doc[kept]) << 32) | at[kept]
+        name = name[kept]
+        wanted = (np.searchsorted(known, docs) << 32) | block
+        found = np.searchsorted(where, wanted)
+        hit = np.flatnonzero(found < len(where))
+        hit = hit[where[found[hit]] == wanted[hit]]
+        here = np.zeros(len(block), np.int64)
+        here[hit] = name[found[hit]]
+        last = np.ones(len(stretch), bool)
+        last[:-1] = stretch[1:] != stretch[:-1]
+        live = ~last & _first_here(stretch, prefix)
+        zero = np.zeros(len(block), np.int64)
+        one, two, next_symbol = _shifted(here, stretch, 1), _shifted(here, stretch, 2), _shifted(symbol, stretch, 1)
+        residue = block % 3
+        for order, without, key in ((0, 0, (here, zero, zero)), (1, 2, (symbol, one, zero)), (2, 1, (symbol, next_symbol, two))):
+            take = np.flatnonzero(live & (residue != without))
+            columns = dict(zip("abc", (k[take] for k in key)))
+            yield _arrow({"order": np.full(len(take), order), **columns, "prefix": prefix[take], "doc_id": docs[take], "block": block[take], "head": heads[take]}, **_KINDS)
 
 
 def _later_in_class(batches) -> Iterator[pa.RecordBatch]:
-    """(doc_id, block) of all but the earliest in each run of neighbours with an equal prefix."""
-    earliest: tuple[int, int, int, int] | None = None  # order, prefix, doc, block
+    """(doc_id, head, block) of all but the earliest in each run of neighbours with an equal prefix."""
+    earliest: tuple[int, ...] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        order, prefix, doc, block = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("order", "prefix", "doc_id", "block"))
+        order, prefix, doc, block, head = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("order", "prefix", "doc_id", "block", "head"))
         if earliest is not None:  # the earliest so far goes on as a first row
-            order, prefix, doc, block = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(earliest, (order, prefix, doc, block)))
+            order, prefix, doc, block, head = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(earliest, (order, prefix, doc, block, head)))
         run = np.cumsum(np.concatenate([[0], (order[1:] != order[:-1]) | (prefix[1:] != prefix[:-1])]))
         by = np.lexsort((block, doc, run))
         first = np.concatenate([[True], run[by][1:] != run[by][:-1]])
         later = by[~first]
         k = by[first][-1]
-        earliest = int(order[k]), int(prefix[k]), int(doc[k]), int(block[k])
-        yield _arrow({"doc_id": doc[later], "block": block[later]}, **_KINDS)
+        earliest = tuple(int(x[k]) for x in (order, prefix, doc, block, head))
+        yield _arrow({"doc_id": doc[later], "head": head[later], "block": block[later]}, **_KINDS)
 
 
 _PART = "kind int, anchor long, doc_id long, start long, size long, data binary"
@@ -292,18 +377,21 @@ def _parts(batches, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, block, start, sizes, offsets, data, later in _rows([batch], "doc_id", "block", "start", "sizes", "offsets", "data", "later"):
-            stretch = Stretch(sizes, offsets, data, length)
-            n = len(stretch.sizes)
-            repeat = np.zeros(n + 2, bool)
-            own = np.array(later or [], np.int64) - block
-            repeat[own[(own >= 0) & (own < n)] + 1] = True
-            edges = np.flatnonzero(repeat[1:] != repeat[:-1])
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                out.append((0, 0, doc, start + stretch.at[a], stretch.at[b] - stretch.at[a], None))
-            for k in np.flatnonzero(~repeat[1:-1]).tolist():
-                a, b = stretch.at[k], stretch.at[k + 1]
+            stretch, gone = Stretch(sizes, offsets, data, length), set(later or ())
+            at, seen, run = stretch.at, set(), None
+            for k, prefix in enumerate(stretch.prefixes()):
+                if block + k in gone or prefix in seen:
+                    run = k if run is None else run
+                    continue
+                seen.add(prefix)
+                if run is not None:
+                    out.append((0, 0, doc, start + at[run], at[k] - at[run], None))
+                    run = None
+                a, b = at[k], at[k + 1]
                 anchor = xxhash.xxh3_64_intdigest(data[a + stretch.offsets[k] : a + stretch.offsets[k] + gram])
                 out.append((1, anchor - (1 << 64) if anchor >> 63 else anchor, doc, start + a, b - a, data[a : b + length - 1]))
+            if run is not None:
+                out.append((0, 0, doc, start + at[run], at[-1] - at[run], None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PART_ARROW.types)], schema=_PART_ARROW)
 
@@ -381,13 +469,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slices: int
     """(doc_id, start, size): runs of windows that also start earlier. docs: doc_id, text; ids are unique."""
 
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(phrases(t or b"", length, gram)[2] for t in as_bytes(batch.column(0)))])
+        return phrases_of(*_buffer(batch.column(0)), length, gram)[4]
 
     known = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), hashes, slices))
 
     def suspects(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for d, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))) for r in _stretches(d, t or b"", known.value.suspects, length, gram)]
+            rows = list(_stretches(batch.column(0).to_pylist(), batch.column(1), known.value.suspects, length, gram))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STRETCH_ARROW.types)], schema=_STRETCH_ARROW)
 
@@ -397,23 +485,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slices: int
     firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("first < last")
     copies = join_counted(texts, firsts.select("digest", "first", "rows"), "digest", "rows").where("doc_id <> first").select("doc_id")
     copies = stored(copies, "copies")
-    single = found.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").drop("digest")
+    single = stored(found.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").drop("digest"), "single-stretches")
 
-    names = _named(single.mapInArrow(lambda b: _first_triples(b, length), _TRIPLE))
-    names = names.repartition("doc_id").sortWithinPartitions("doc_id", "block")
-    names = _named(names.mapInArrow(_next_triples, _TRIPLE))
+    width = shuffle_width(docs.sparkSession)
+    names = _named(single.mapInArrow(lambda b: _first_triples(b, length), _TRIPLE), _share(F.col("a"), width))
+    names = names.repartition("doc_id").sortWithinPartitions("doc_id")
+    names = _named(names.mapInArrow(_next_triples, _TRIPLE), _part(F.col("a")))
     none = {"sizes": "binary", "offsets": "binary", "data": "binary"}
-    both = names.select("doc_id", F.lit(0).alias("kind"), "block", "name", *(F.lit(None).cast(v).alias(k) for k, v in none.items()))
-    both = both.unionByName(single.select("doc_id", F.lit(1).alias("kind"), "block", F.lit(0).cast("long").alias("name"), *none))
-    both = both.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "block")
+    both = names.select("doc_id", F.lit(0).alias("kind"), "block", "name", "more", *(F.lit(None).cast(v).alias(k) for k, v in none.items()))
+    both = both.unionByName(single.select("doc_id", F.lit(1).alias("kind"), "block", F.lit(0).cast("long").alias("name"), F.lit(None).cast("binary").alias("more"), *none))
+    both = both.repartition("doc_id").sortWithinPartitions("doc_id")
     orders = both.mapInArrow(lambda b: _orders(b, length), _ORDER)
-    keys = ("order", "a", "b", "c", "prefix")
-    # The id is part of the range, so that a class of very many texts spans several tasks; each keeps an earliest of its own.
-    dealt = orders.repartitionByRange(shuffle_width(docs.sparkSession), *keys, "doc_id").sortWithinPartitions(*keys)
-    later = stored(dealt.mapInArrow(_later_in_class, "doc_id long, block int"), "later-phrases")
-    by_doc = later.groupBy("doc_id").agg(F.collect_set("block").alias("later"))
+    part = F.when(F.col("order") == 0, _part(F.col("a"))).otherwise(_share(F.col("a"), width))
+    dealt = orders.repartitionById(width, part).sortWithinPartitions("order", "a", "b", "c", "prefix")
+    later = dealt.mapInArrow(_later_in_class, "doc_id long, head int, block int")
+    by_stretch = stored(later.groupBy("doc_id", F.col("head").alias("block")).agg(F.collect_set("block").alias("later")), "later-phrases")
 
-    flagged = single.join(by_doc.hint("shuffle_hash"), "doc_id", "left")
+    flagged = single.join(by_stretch.hint("shuffle_hash"), ["doc_id", "block"], "left")
     parts = stored(flagged.mapInArrow(lambda b: _parts(b, length, gram), _PART), "phrases")
     whole = parts.where("kind = 0").select("doc_id", "start", "size")
     edges = parts.where("kind = 1").drop("kind")

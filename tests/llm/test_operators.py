@@ -119,12 +119,20 @@ def test_suffix_dedup_of_random_passages(spark, crowded):
     assert suffix_rows(df, slices=1, crowded=crowded) == want
 
 
-def test_phrases_do_not_depend_on_chunks(monkeypatch):
-    text = " ".join(random.Random(1).choice(["a", "bc", "def", "ghij"]) for _ in range(3000)).encode()
-    whole = suffix_dedup.phrases(text)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 517)
-    for a, b in zip(whole, suffix_dedup.phrases(text)):
-        assert (a == b).all()
+def test_phrases_depend_on_their_text_alone(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "bc", "def", "ghij"]) for _ in range(n)).encode() for n in (900, 0, 20, 45, 400)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = suffix_dedup.phrases_of(data, offsets)
+    for chunk in (211, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        for k, text in enumerate(texts):
+            alone = suffix_dedup.phrases_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            own = whole[0] == k
+            assert own.sum() == len(alone[0]) and (len(text) < 100 or own.any())
+            for x, y in zip(whole[1:4], alone[1:4]):
+                assert (x[own] - offsets[k] == y).all()
+            assert (whole[4][own] == alone[4]).all()
 
 
 # 3
@@ -184,7 +192,7 @@ def test_token_store_round_trip(table, spark):
     assert sorted((r.doc_id, bytes(r.ids)) for r in found) == sorted(want)
     assert [r.doc_id for r in found] == sorted(r.doc_id for r in found)
     assert [r.start for r in found] == np.concatenate([[0], np.cumsum([r.n_tokens for r in found])[:-1]]).tolist()[: len(found)]
-    assert spark.read.parquet(f"{folder}/chunks").groupBy("address").count().where("count > 1").isEmpty()
+    assert token_store._chunks(spark, folder).where("first = 1").groupBy("address").count().where("count > 1").isEmpty()
 
 
 def test_token_store_notices_damage(spark, tmp_path):
@@ -192,9 +200,9 @@ def test_token_store_notices_damage(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
     token_store.write_store(df, folder)
     other = token_store.pack_ids(np.array([1, 2, 3], np.uint32))
-    chunks = spark.read.parquet(f"{folder}/chunks").withColumn("ids", F.lit(bytearray(other)))
-    chunks.write.parquet(f"{folder}/new")
-    spark.read.parquet(f"{folder}/new").write.mode("overwrite").parquet(f"{folder}/chunks")
+    damaged = spark.read.parquet(f"{folder}/chunks").where("first = 1").drop("first").withColumn("ids", F.lit(bytearray(other)))
+    damaged.write.parquet(f"{folder}/new")
+    spark.read.parquet(f"{folder}/new").write.mode("overwrite").parquet(f"{folder}/chunks/first=1")
     with pytest.raises(Exception, match="does not agree"):
         token_store.read_store(spark, folder).collect()
     spark.read.parquet(f"{folder}/recipes").withColumn("root", F.lit(bytearray(b"x"))).write.mode("append").parquet(f"{folder}/recipes")
