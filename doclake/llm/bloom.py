@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shuffle_width
+from .common import cleaned_up, mix, shuffle_width
 
 SLICE_BITS = 21
 _MASK = np.uint64((1 << SLICE_BITS) - 1)
@@ -112,4 +112,5 @@ def repeated(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], s
     width = min(slices, max(8, shuffle_width(df.sparkSession)))
     merged = df.mapInArrow(note, _PAYLOAD).repartition(width, "slice").mapInArrow(_merge, _PAYLOAD).select("slice", F.col("twice"))
     # slices rows of 256 KiB: a fixed size, whatever the corpus.
-    return Repeats(slices, {r[0]: bytes(r[1]) for r in merged.toLocalIterator()})
+    with cleaned_up(df.sparkSession):
+        return Repeats(slices, {r[0]: bytes(r[1]) for r in merged.collect()})
