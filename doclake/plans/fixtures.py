@@ -97,6 +97,12 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(docs, "doc_id")
 
 
+def all_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document with a text asks its own file, with its first line."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    return docs.select(F.col("doc_id").alias("question_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("question"), "doc_id", md5(F.col("text")).alias("file_hash"))
+
+
 CTES = {
     "lines": """lines as (select doc_id, md5(text) as file_hash,
       (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint as element_index, unnest(string_split(text, chr(10))) as line
@@ -130,6 +136,8 @@ CTES = {
       label::varchar as file_hash, vec_id as element_index from embeddings)""",
     "questions": """questions as (select item_id as question_id, b.text as question, d.doc_id, md5(d.text) as file_hash
       from benchmark b join documents d on d.doc_id = item_id * 13 % 200 where d.text is not null)""",
+    "all_questions": """questions as (select doc_id as question_id, string_split(text, chr(10))[1] as question, doc_id, md5(text) as file_hash
+      from documents where text is not null)""",
     "records": """records as (
       select doc_id, file_hash, element_index, 'main' as part, 0 as seq,
         case when type = 'text' and text_level = 1 then 'title' else type end as element_type,

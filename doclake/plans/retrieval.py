@@ -372,12 +372,22 @@ found as (select s.*, k.element_type, k.content, k.img_path, k.page_idx, row_num
 answers as (select * from found where rank <= 5)"""
 
 
+def _points(rows):
+    seq = F.when(F.col("part") == "main", 0).when(F.col("part") == "caption", 1).otherwise(2).cast("long")
+    return rows.select(F.col("doc_id").cast("string").alias("file_hash"), "element_index", seq.alias("seq"), F.col("content").alias("text"), "element_type", "img_path", "page_idx", "bbox", embed.embed_text(F.col("content")).alias("vector"))
+
+
 def _answers(spark, sf):
     """Answers from the asked documents alone; a question is about one document, not about its copies."""
     asked = fx.questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
-    rows = _records(spark, sf).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    seq = F.when(F.col("part") == "main", 0).when(F.col("part") == "caption", 1).otherwise(2).cast("long")
-    points = rows.select(F.col("doc_id").cast("string").alias("file_hash"), "element_index", seq.alias("seq"), F.col("content").alias("text"), "element_type", "img_path", "page_idx", "bbox", embed.embed_text(F.col("content")).alias("vector"))
+    points = _points(_records(spark, sf).join(asked.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return asked, points, qa.answers(asked, points, 5)
+
+
+def _all_answers(spark, sf):
+    """Every document is embedded, and asked for its own first line."""
+    asked = fx.all_questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
+    points = _points(_records(spark, sf))
     return asked, points, qa.answers(asked, points, 5)
 
 
@@ -385,58 +395,118 @@ def _images(spark, sf):
     return fx.images(spark, sf).withColumn("content", F.col("img_path").cast("binary"))
 
 
+def _index_missing(spark, sf, questions):
+    asked = questions.withColumn("file_hash", (F.col("doc_id") % 10).cast("string"))
+    labels = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("file_hash"))
+    return qa.index_status(asked, labels.where("file_hash < '5'"), labels.where("file_hash >= '5' and file_hash < '8'")).select("question_id", "status", "indexed")
+
+
 @query(
     "ask_index_missing",
     with_("questions", "points") + """select question_id, case when q.doc_id % 10 < 8 then 'success' else 'error' end as status, q.doc_id % 10 < 8 as indexed from questions q""",
 )
 def _(spark, sf):
-    asked = fx.questions(spark, sf).withColumn("file_hash", (F.col("doc_id") % 10).cast("string"))
-    labels = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("file_hash"))
-    return qa.index_status(asked, labels.where("file_hash < '5'"), labels.where("file_hash >= '5' and file_hash < '8'")).select("question_id", "status", "indexed")
+    return _index_missing(spark, sf, fx.questions(spark, sf))
 
 
-@query("ask_answers", with_("questions", "records", then=_ANSWERS) + "select question_id, element_index, element_type, content as text, round(score, 4) as score, rank, page_idx from answers")
-def _(spark, sf):
-    found = _answers(spark, sf)[2]
+_FOUND_SQL = "select question_id, element_index, element_type, content as text, round(score, 4) as score, rank, page_idx from answers"
+
+
+def _found(found):
     return found.select("question_id", "element_index", "element_type", "text", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), "page_idx")
 
 
-@query(
-    "attach_images",
-    with_("questions", "records", then=_ANSWERS) + "select question_id, rank, case when element_type in ('image', 'table') and img_path in (select img_path from images) then base64(encode(img_path)) end as image_base64 from answers",
-)
+@query("ask_answers", with_("questions", "records", then=_ANSWERS) + _FOUND_SQL)
 def _(spark, sf):
-    found = qa.attach_images(_answers(spark, sf)[2], _images(spark, sf))
-    return found.select("question_id", F.col("rank").cast("long").alias("rank"), "image_base64")
+    return _found(_answers(spark, sf)[2])
+
 
+_PICTURES_SQL = "select question_id, rank, case when element_type in ('image', 'table') and img_path in (select img_path from images) then base64(encode(img_path)) end as image_base64 from answers"
 
-@query("build_context", with_("questions", "records", then=_ANSWERS) + "select question_id, string_agg(content, chr(10) || chr(10) order by rank) as context, count(*) as n_answers from answers group by question_id")
+
+def _pictures(spark, sf, found):
+    return qa.attach_images(found, _images(spark, sf)).select("question_id", F.col("rank").cast("long").alias("rank"), "image_base64")
+
+
+@query("attach_images", with_("questions", "records", then=_ANSWERS) + _PICTURES_SQL)
 def _(spark, sf):
-    return qa.contexts(_answers(spark, sf)[2]).select("question_id", "context", "n_answers")
+    return _pictures(spark, sf, _answers(spark, sf)[2])
 
 
-@query(
-    "build_prompt",
-    with_("questions", "records", then=_ANSWERS) + f""", parts as (
+_CONTEXT_SQL = "select question_id, string_agg(content, chr(10) || chr(10) order by rank) as context, count(*) as n_answers from answers group by question_id"
+
+
+def _contexts(found):
+    return qa.contexts(found).select("question_id", "context", "n_answers")
+
+
+@query("build_context", with_("questions", "records", then=_ANSWERS) + _CONTEXT_SQL)
+def _(spark, sf):
+    return _contexts(_answers(spark, sf)[2])
+
+
+_PROMPT_SQL = f""", parts as (
       select question_id, 0 as k, 'text' as type, '{qa.SYSTEM}' as text, null as url from answers group by question_id
       union all select question_id, rank, 'image_url', null, 'data:image/jpeg;base64,' || base64(encode(img_path)) from answers where element_type in ('image', 'table') and img_path in (select img_path from images)
       union all select question_id, 100, 'text', string_agg(content, chr(10) || chr(10) order by rank), null from answers group by question_id
       union all select q.question_id, 101, 'text', 'Question: ' || question || ' Answer from the context (texts and images) alone.', null from questions q where question_id in (select question_id from answers))
-      select question_id, row_number() over (partition by question_id order by k) - 1 as part, type, text, url from parts""",
-)
-def _(spark, sf):
-    found = qa.attach_images(_answers(spark, sf)[2], _images(spark, sf))
-    rows = qa.prompts(found).select("question_id", F.posexplode("messages").alias("part", "m"))
+      select question_id, row_number() over (partition by question_id order by k) - 1 as part, type, text, url from parts"""
+
+
+def _prompts(spark, sf, found):
+    rows = qa.prompts(qa.attach_images(found, _images(spark, sf))).select("question_id", F.posexplode("messages").alias("part", "m"))
     return rows.select("question_id", F.col("part").cast("long").alias("part"), "m.type", "m.text", "m.url")
 
 
+@query("build_prompt", with_("questions", "records", then=_ANSWERS) + _PROMPT_SQL)
+def _(spark, sf):
+    return _prompts(spark, sf, _answers(spark, sf)[2])
+
+
 @query("llm_answer")
 def _(spark, sf):
-    found = qa.attach_images(_answers(spark, sf)[2], _images(spark, sf))
+    found = qa.attach_images(_all_answers(spark, sf)[2], _images(spark, sf))
     return generate.llm_answer(qa.prompts(found), "question_id")
 
 
 @query("ask_document")
 def _(spark, sf):
+    asked, points, _ = _all_answers(spark, sf)
+    return qa.ask(asked, points, _images(spark, sf), 5)
+
+
+def ask_benchmark(spark, sf):
+    """Each benchmark item asks one of the first 200 documents, which are all of the smallest table."""
     asked, points, _ = _answers(spark, sf)
     return qa.ask(asked, points, _images(spark, sf), 5)
+
+
+# The SQL of the questions above asks the first 200 documents; these ask every document, by the same operators.
+
+
+@query(
+    "ask_all_index_missing",
+    with_("all_questions", "points") + """select question_id, case when q.doc_id % 10 < 8 then 'success' else 'error' end as status, q.doc_id % 10 < 8 as indexed from questions q""",
+)
+def _(spark, sf):
+    return _index_missing(spark, sf, fx.all_questions(spark, sf))
+
+
+@query("ask_all_answers", with_("all_questions", "records", then=_ANSWERS) + _FOUND_SQL)
+def _(spark, sf):
+    return _found(_all_answers(spark, sf)[2])
+
+
+@query("attach_all_images", with_("all_questions", "records", then=_ANSWERS) + _PICTURES_SQL)
+def _(spark, sf):
+    return _pictures(spark, sf, _all_answers(spark, sf)[2])
+
+
+@query("build_all_contexts", with_("all_questions", "records", then=_ANSWERS) + _CONTEXT_SQL)
+def _(spark, sf):
+    return _contexts(_all_answers(spark, sf)[2])
+
+
+@query("build_all_prompts", with_("all_questions", "records", then=_ANSWERS) + _PROMPT_SQL)
+def _(spark, sf):
+    return _prompts(spark, sf, _all_answers(spark, sf)[2])

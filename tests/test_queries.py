@@ -24,6 +24,17 @@ def test_entry(spark):
     assert found.columns == ["question_id", "question", "context", "n_answers", "answer", "error"] and found.count() == 40
 
 
+def test_every_document_is_asked(spark, tmp_path):
+    """Ids far beyond the first 200 too, and a document of very many lines."""
+    texts = [(k * 1000 + 7, f"title{k} about thing{k}\n\nplain words\nmore of thing{k}") for k in range(60)] + [(10**9, "\n".join(f"line{k}" for k in range(3000))), (10**9 + 1, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.question_id: r for r in registry.queries()["ask_document"](spark, str(tmp_path)).collect()}
+    assert set(found) == {i for i, t in texts if t}
+    for i, t in texts[:-1]:
+        assert found[i].question == t.split("\n")[0] and 0 < found[i].n_answers <= 5
+    assert len({r.question_id for r in registry.queries()["llm_answer"](spark, str(tmp_path)).collect()}) == 61
+
+
 def test_rest_stands_alone():
     """Nothing outside the training-data subpackage imports it."""
     import pathlib
