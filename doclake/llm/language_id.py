@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 SEED = 7
 UNKNOWN = "und"
-#: Documents less like any language are rejected by the filter.
-MIN_SCORE = 0.02
+#: Documents less like any language are rejected by the filter. A text that shares no run with a prototype has a cosine of
+#: standard deviation 1 / sqrt(DIMENSIONS); this is four of them.
+MIN_SCORE = 4 / DIMENSIONS**0.5
 
 
 @lru_cache(1)

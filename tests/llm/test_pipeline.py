@@ -1,13 +1,15 @@
 """The pipeline against plain Python, and on odd and empty tables."""
 
 import collections
+import random
 import zlib
 
+import numpy as np
 import pytest
 from llm_tools import texts_of
 from test_operators import NO_ID, WHITE, WORD, ascii_lower, contamination_of, encoded, fingerprint_of, roots_of
 
-from doclake.llm import decontaminate, packing
+from doclake.llm import decontaminate, language_id, packing
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -53,6 +55,42 @@ def test_pipeline(docs, spark, sf):
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
 
 
+def cosine_of(text, prototypes):
+    """The greatest cosine with a prototype, by the definition."""
+    vector = vector_of(text)
+    return max(float(vector @ p / np.linalg.norm(vector) / np.linalg.norm(p)) for p in prototypes)
+
+
+def vector_of(text, d=language_id.DIMENSIONS):
+    chars = [32] + [ord(c.lower()[0]) if c.isalpha() else 32 for c in text] + [32]
+    chars = [c for k, c in enumerate(chars) if not k or c != 32 or chars[k - 1] != 32]
+    runs = collections.Counter(zip(chars, chars[1:], chars[2:]))
+    vectors = {c: np.random.Generator(np.random.PCG64([language_id.SEED, c])).integers(0, 2, d) * 2 - 1 for c in set(chars)}
+    return sum(n * np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c] for (a, b, c), n in runs.items())
+
+
+def test_noise_is_no_language(docs, spark, sf):
+    """Foreign scripts and letter noise go, short clean texts stay."""
+    rng = random.Random(3)
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    scripts = [[chr(c) for c in range(a, b)] for a, b in ((0x3B1, 0x3CA), (0x430, 0x450), (0xAC00, 0xB400), (0x4E00, 0x5A00))]
+    planted = [noise(s, n) for s in scripts for n in (5, 50, 300) for _ in range(3)] + [noise("abcdefghijklmnopqrstuvwxyz", 30) for _ in range(12)]
+    known = [(r.lang, r.text) for r in docs.where("text is not null and lang is not null").collect()]
+    sums = {}
+    for lang, text in known:
+        if any(c.isalpha() for c in text):
+            sums[lang] = sums.get(lang, 0) + vector_of(text)
+    short = [" ".join(t.split()[5:17]) for _, t in known if len(t.split()) > 60][:40]
+    rows = [(10**6 + k, t, None, "planted", len(t)) for k, t in enumerate(planted + short)]
+    every = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {r.doc_id for r in pipeline.known_language(spark, every, sf).where("source = 'planted'").collect()}
+    scores = [cosine_of(t, list(sums.values())) for t in planted + short]
+    floor = 4 / language_id.DIMENSIONS**0.5
+    assert got == {i for (i, *_), s in zip(rows, scores) if s >= floor}
+    foreign, latin = range(10**6, 10**6 + 36), range(10**6 + 36, 10**6 + 48)
+    assert not got & set(foreign) and len(got & set(latin)) <= 2 and len(got - set(latin)) >= 0.9 * len(short)
+
+
 @pytest.mark.parametrize("name", ["odd", "empty"])
 def test_stages_keep_columns(request, spark, sf, name):
     docs = request.getfixturevalue(name)
