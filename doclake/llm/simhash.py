@@ -173,14 +173,19 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _least(found: DataFrame, cell: int) -> DataFrame:
+    """(fp, least, rows) of a table of fp and place: the least place in the fingerprint's component, and the fingerprint's rows."""
+    points = stored(found.groupBy("fp").agg(F.min("place").alias("first"), F.count("*").alias("rows")), "points")
+    roots = components(links(points.select("fp"), cell)).select(F.col("node").alias("fp"), "root")
+    placed = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return placed.join(least, "root").select("fp", "least", "rows")
+
+
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", cell: int = CELL) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of docs."""
     found = stored(fingerprints(narrow(docs, id_col, text_col)), "fingerprints")
-    points = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "points")
-    roots = components(links(points.select("fp"), cell)).select(F.col("node").alias("fp"), "root")
-    placed = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(least, "root").select("fp", "component_id", "rows")
+    by_fp = _least(found.select("fp", F.col("doc_id").alias("place")), cell).withColumnRenamed("least", "component_id")
     return join_counted(found, by_fp, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
@@ -190,8 +195,30 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", cell: int
     return found.select(given_id().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), given_id("component_id").alias("component_id"))
 
 
+def _with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with each row's fingerprint."""
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in as_bytes(batch.column(at).cast(pa.string()))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, name])
+
+    return docs.mapInArrow(add, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
+
+
 def keep_first(docs: DataFrame, id_col="doc_id", text_col="text", cell: int = CELL) -> DataFrame:
-    """docs without the documents of a component that aren't its smallest id."""
-    key = fresh(docs, "lost_id")
-    lost = classes(docs, id_col, text_col, cell).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(lost.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col(key), "left_anti")
+    """docs without the rows that aren't the first of their component, by id, then by the hash of the text.
+
+    Rows of one id and one text are repeats of a document and stay together. Rows without an id are documents of their own: of a
+    component that has no id one row stays.
+    """
+    fp, place, least, rows = (fresh(docs, name) for name in ("print_fp", "print_place", "print_least", "print_rows"))
+    own = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    text = docs[text_col].cast("string")
+    tag = F.when(own == NO_ID, F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    # Written once: a row's place must not change between the two times that it is read.
+    found = docs.select("*", F.struct(own.alias("id"), F.xxhash64(text).alias("hash"), tag.alias("row")).alias(place))
+    found = stored(_with_fingerprints(found, text_col, fp), "fingerprints")
+    by_fp = _least(found.select(F.col(fp).alias("fp"), F.col(place).alias("place")), cell).toDF(fp, least, rows)
+    return join_counted(found, by_fp, fp, rows).where(F.col(place) == F.col(least)).select(*docs.columns)

@@ -464,6 +464,36 @@ def test_keep_first(odd, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def test_keep_first_of_rows_without_ids(spark):
+    """Each row without an id, or with another's id, is judged by its own text."""
+    rng = random.Random(5)
+    unlike = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60))
+    a, b, c, d, e, f = (unlike() for _ in range(6))
+    rows = [(1, a, "first"), (None, a, "copy"), (None, b, "own"), (None, c, "own"), (None, d, "x"), (None, d, "y"), (None, d, "z")]
+    rows += [(5, e, "own"), (5, a, "copy"), (5, f, "own"), (6, b, "copy of none"), (7, e, "copy"), (7, e, "copy"), (8, f + " end", "copy"), (9, unlike(), "own"), (9, None, "empty"), (None, "", "empty")]
+    found = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, what string")).collect()]
+    assert simhash.fingerprint((f + " end").encode()) != 0
+    near = np.bitwise_count(np.uint64(simhash.fingerprint(f.encode()) ^ simhash.fingerprint((f + " end").encode()))) <= 3
+    kept = collections.Counter((i, t) for i, t, _ in found)
+    want = collections.Counter([(1, a), (None, c), (None, d), (5, e), (5, f), (6, b), (9, rows[14][1]), (9, None)] + ([] if near else [(8, f + " end")]))
+    assert kept == want
+
+
+def test_keep_first_of_heavy_rows_without_ids(spark):
+    """A third of the rows has no id, and one text is heavy."""
+    rows = [(None if k % 3 == 0 else k, f"text number{k} of{k} its{k} own{k} words{k}" if k % 2 else "the same words in every one") for k in range(3000)]
+    found = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = collections.Counter(tuple(r) for r in found.collect())
+    prints = {t: fingerprint_of(t) for _, t in rows}
+    root = roots_of(set(prints.values()))
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[root[prints[t]]].append((NO_ID if i is None else i, t))
+    assert sum(kept.values()) == len(groups)
+    for (i, t), n in kept.items():
+        assert n == 1 and (NO_ID if i is None else i) == min(x for x, _ in groups[root[prints[t]]])
+
+
 def test_join_counted(spark):
     left = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("v"))
     right = left.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("top"))
