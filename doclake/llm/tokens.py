@@ -3,7 +3,8 @@
 Both vocabularies used here split a text before they merge, and no token crosses a single blank between two characters
 that are not white space. So a text is cut there, each piece goes through the tokenizers library once, and the
 ids are joined. A piece whose ends make the cut unsafe is joined with its neighbours first; results equal those of the
-whole text. The memo is a cache of bounded size and never changes a result.
+whole text. The memo is a cache of bounded size and never changes a result. A text that holds a special token's literal, which
+is that token by the library's default, goes through the library uncut.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         #: Blanks are part of the token after them, or vanish.
         self.blanks = self.tokenizer.normalizer is None
@@ -85,8 +86,13 @@ class Encoder:
                 return self.pieces[lines[0]] + b"".join(self.line_end + self.firsts[x] for x in lines[1:])
         return self._made(piece, self.lead, self.pieces)
 
+    def special(self, text: str) -> bool:
+        return any(x in text for x in self.literals)
+
     def parts(self, text: str) -> list[str]:
         """The text in pieces between which no token lies, each with the blank before it."""
+        if self.special(text):
+            return [text]
         out, held = [], ""
         for k, part in enumerate(text.split(" ")):
             if not k:
@@ -102,6 +108,8 @@ class Encoder:
         """All ids of a text; null is the empty text."""
         if not text:
             return b""
+        if self.special(text):
+            return self.whole(text)
         if not self.blanks:
             return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
         first, *rest = text.split(" ")

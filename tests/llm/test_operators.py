@@ -225,6 +225,46 @@ def test_prefix_sums(spark):
     assert [r.before for r in got] == np.concatenate([[0], np.cumsum([r.v for r in got])[:-1]]).tolist()
 
 
+SPECIAL = [
+    f"{a}{x}{b}"
+    for x in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|endoftext|><|endoftext|>")
+    for a, b in (("", ""), ("end of page ", " next"), ("glued", "word"), ("two  ", "  blanks"), ("line\n", "\n\nline two"), ("Größe, ", "."), (" ", " "))
+]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens(spark, name):
+    """Literals of special tokens, against a tokenizer of the test's own."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary(name))
+    want = {t: fresh.encode(t, add_special_tokens=False) for t in SPECIAL}
+    assert max(want[SPECIAL[0]].ids) == max(fresh.get_added_tokens_decoder()) and len(want[SPECIAL[0]].ids) == 1
+    for t in SPECIAL:
+        assert np.frombuffer(tokens.encoder(tokens.vocabulary(name)).encode(t), "<u4").tolist() == want[t].ids
+    table = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    found = {r.doc_id: r for r in packing.pack(table, path=tokens.vocabulary(name), end_id=0).collect()}
+    for k, t in enumerate(SPECIAL):
+        assert found[k].ids_crc32 == zlib.crc32(np.array([*want[t].ids, 0], "<u4").tobytes())
+    counts = collections.Counter()
+    for r in token_counts.count_sections(table, path=tokens.vocabulary(name)).collect():
+        counts[(r.doc_id, r.section)] = r.n_tokens
+    for k, t in enumerate(SPECIAL):
+        starts = [0, *(m.end() for m in re.finditer("\n", t) if m.end() < len(t))]
+        own = collections.Counter(bisect.bisect_right(starts, s) - 1 for s, _ in want[t].offsets)
+        assert [counts[(k, s)] for s in range(len(starts))] == [own[s] for s in range(len(starts))]
+
+
+def test_token_store_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    folder = token_store.store_folder(spark)
+    token_store.write_store(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), folder)
+    found = {r.doc_id: bytes(r.ids) for r in token_store.read_store(spark, folder).collect()}
+    assert found == {k: np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for k, t in enumerate(SPECIAL)}
+
+
 # 5
 
 
