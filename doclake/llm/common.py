@@ -50,7 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     with cleaned_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these. Only when all that was read from them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -104,18 +113,19 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFr
 HEAVY, MOST_HEAVY = 1000, 50_000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
-    """left joined to right, whose keys are unique and whose column `rows` counts a key's rows in left.
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], rows: str) -> DataFrame:
+    """left joined to right, whose keys are unique and whose column `rows` counts a key's rows in left (or is more).
 
     Rows of a heavy key are not shuffled: the heavy keys alone are broadcast, if there are few enough of them; else the join is
     left to AQE. left should be cheap to read twice.
     """
-    right = stored(right, "counted")
+    keys = [key] if isinstance(key, str) else key
+    right = right if hasattr(right, "_stored_at") else stored(right, "counted")
     heavy, n = right.where(F.col(rows) > HEAVY), right.where(F.col(rows) > HEAVY).limit(MOST_HEAVY + 1).count()
     if not 0 < n <= MOST_HEAVY:
         return left.join(right.drop(rows), key)
     top = F.broadcast(heavy.drop(rows))
-    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col(rows) <= HEAVY).drop(rows), key)
+    light = left.join(F.broadcast(heavy.select(*keys)), key, "left_anti").join(right.where(F.col(rows) <= HEAVY).drop(rows), key)
     return left.join(top, key).unionByName(light)
 
 

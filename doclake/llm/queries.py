@@ -36,7 +36,7 @@ def op4_token_store(spark, sf_dir):
     token_store.write_store(table(spark, sf_dir, "documents"), folder)
     if not token_store.verify_manifest(spark, folder).isEmpty():
         raise ValueError("recipe files do not agree with their manifest")
-    return token_store.digests(token_store.read_store(spark, folder))
+    return token_store.read_digests(spark, folder)
 
 
 def op5_quality_rules(spark, sf_dir):

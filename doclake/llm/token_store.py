@@ -6,18 +6,19 @@ Merkle root over them; the manifest has the Merkle root of each recipe file, ove
 documents together again, and fails on a chunk, document or file that does not have its address or root.
 
 Files, all Parquet, under one folder:
-  chunks/    a row for each place of a chunk: address binary(16), doc_id, root, k, n_chunks, n_ids, ids. Under first=1 are those
-             with ids, one for each address: zstd of little-endian unsigned 16 or 32-bit integers, after a byte that is the
-             width. Under first=0, all others, ids is null
+  chunks/    a row for each address: address binary(16), ids: zstd of little-endian unsigned 16 or 32-bit integers, after a
+             byte that is the width
   recipes/   in ascending doc_id over its files: doc_id, start (ids of all documents before), n_tokens, addresses, root
   manifest/  a row for each recipe file: file, first and last doc_id, documents, root
 
 Null and empty texts: the end id alone. Null id: the largest. Rows that share an id are kept apart, in the order of
-their roots.
+their roots; so are repeated rows. Very long texts have chunks like others, of at most MOST ids each. An empty table gives an
+empty store. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
@@ -25,18 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, given_id, narrow, prefix_sums, scratch_root
+from .common import HEAVY, NO_ID, cleaned_up, discard, given_id, join_counted, narrow, prefix_sums, scratch_root, shuffle_width, stored
 from .tokens import encoder, vocabulary
 
 END_ID = 2
-#: Chunks have AVERAGE ids more than LEAST on the whole, and MOST at most; a cut depends on WINDOW ids before it.
+#: Chunks have AVERAGE ids more than LEAST on the whole, and MOST at most; a cut depends on WINDOW ids before it. Powers of two.
 LEAST, AVERAGE, MOST, WINDOW = 256, 2048, 16384, 16
-#: Addresses that a task remembers as sent.
-SENT = 500_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -45,12 +43,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    weights = np.array([pow(_MULTIPLIER, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
-    rolling = np.zeros(n - WINDOW + 1, np.uint64)
-    wide = ids.astype(np.uint64)
-    for k in range(WINDOW):
-        rolling += wide[k : k + len(rolling)] * weights[k]
-    marks = np.flatnonzero((rolling >> np.uint64(32)) % np.uint64(AVERAGE) == 0) + WINDOW
+    # The hash of WINDOW ids from those of its halves.
+    rolling, have = ids.astype(np.uint64), 1
+    while have < WINDOW:
+        rolling = rolling[:-have] * np.uint64(pow(_MULTIPLIER, have, 1 << 64)) + rolling[have:]
+        have *= 2
+    marks = np.flatnonzero((rolling * np.uint64(_MULTIPLIER) >> np.uint64(32)) & np.uint64(AVERAGE - 1) == 0) + WINDOW
     out, last = [], 0
     for end in [*marks.tolist(), n]:
         while end - last > MOST:
@@ -75,86 +73,69 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.blake2b(b"\2", digest_size=16).digest()
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
+@functools.cache
+def _zstd():
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(ids.astype(f"<u{width}").tobytes())
+    return bytes([width]) + _zstd()[0].compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpack_ids(packed: bytes) -> np.ndarray:
-    import zstandard
+    return np.frombuffer(_zstd()[1].decompress(packed[1:]), f"<u{packed[0]}").astype("<u4")
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), f"<u{packed[0]}").astype("<u4")
 
-
-_CHUNK = "address binary, doc_id long, root binary, k int, n_chunks int, n_ids long, ids binary"
+_ENCODED = "doc_id long, root binary, n_tokens long, addresses array<binary>, chunks array<binary>"
 
 
 def chunked(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """A row a chunk of every document."""
+    """Per document: its ids' number, and its chunks with their addresses."""
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("address", pa.binary()), ("doc_id", pa.int64()), ("root", pa.binary()), ("k", pa.int32()), ("n_chunks", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("root", pa.binary()), ("n_tokens", pa.int64()), ("addresses", pa.list_(pa.binary())), ("chunks", pa.list_(pa.binary()))])
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
-        tokenizer, sent = encoder(path), set()
+        tokenizer = encoder(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(tokenizer.encode(text) + end, "<u4")
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                ids = np.frombuffer(tokenizer.encode(text.as_py()) + end, "<u4")
                 ends = cuts(ids)
                 parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
                 addresses = [address(p.tobytes()) for p in parts]
-                root = merkle(addresses)
-                for k, (a, p) in enumerate(zip(addresses, parts)):
-                    # A task sends the ids of an address once, so a chunk of very many documents is not moved with each.
-                    rows.append((a, doc, root, k, len(parts), len(p), None if a in sent else pack_ids(p)))
-                    sent.add(a)
-            if len(sent) > SENT:
-                sent.clear()
+                rows.append((doc.as_py(), merkle(addresses), len(ids), addresses, [pack_ids(p) for p in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.mapInArrow(encode, _CHUNK)
+    return docs.mapInArrow(encode, _ENCODED)
 
 
-def _first_has_ids(batches) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by address, those with ids first, only the first of each address keeps them."""
-    last = None
-    for batch in batches:
-        addresses, ids = batch.column(0).to_pylist(), batch.column(6)
-        keep = [a != b for a, b in zip(addresses, [last, *addresses])]
-        last = addresses[-1] if addresses else last
-        ids = pc.if_else(pa.array(keep), ids, pa.scalar(None, pa.binary()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:6], ids], schema=batch.schema)
+def _first_of_each(chunks: DataFrame) -> DataFrame:
+    """Of the rows (address, place, ids) the one of each address that has the least place. Places differ."""
+    least = chunks.groupBy("address").agg(F.min("place").alias("least"), F.count("*").alias("rows"))
+    return join_counted(chunks, least, "address", "rows").where(F.col("place") == F.col("least")).select("address", "ids")
 
 
 def write_store(docs: DataFrame, folder: str, id_col="doc_id", text_col="text", path: str | None = None, end_id: int = END_ID) -> None:
     """Encode all texts and write the store's files."""
     spark = docs.sparkSession
     path = path or vocabulary("word_bpe_49k.json")
-    rows = chunked(narrow(docs, id_col, text_col), path, end_id)
-    dealt = rows.repartition("address").sortWithinPartitions("address", F.col("ids").isNull()).mapInArrow(_first_has_ids, _CHUNK)
-    first = F.col("ids").isNotNull().cast("int")
-    dealt.withColumn("first", first).write.option("compression", "none").partitionBy("first").parquet(f"{folder}/chunks")
-    # From here on rows have no ids, only addresses.
-    recipe = _chunks(spark, folder).groupBy("doc_id", "root").agg(
-        F.array_sort(F.collect_list(F.struct("k", "address", "n_ids", "n_chunks"))).alias("parts")
-    )
-    recipe = recipe.withColumn("copies", (F.size("parts") / F.element_at("parts", 1)["n_chunks"]).cast("int"))
-    recipe = recipe.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    recipe = recipe.withColumn("addresses", F.transform(F.filter("parts", lambda _, i: i % F.col("copies") == 0), lambda x: x["address"]))
-    recipe = recipe.withColumn("n_tokens", (F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["n_ids"]) / F.col("copies")).cast("long"))
-    recipe = recipe.select("doc_id", "root", "copy", "n_tokens", "addresses")
-    summed = prefix_sums(recipe, ["doc_id", "root", "copy"], "n_tokens", "start")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    summed.select("doc_id", "start", "n_tokens", "addresses", "root").repartitionByRange(width, "start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
+    encoded = chunked(narrow(docs, id_col, text_col), path, end_id).withColumn("row", F.monotonically_increasing_id())
+    encoded = stored(encoded, "encoded")  # from here on a row's number stays
+    chunks = encoded.select("row", F.posexplode(F.arrays_zip("addresses", "chunks")).alias("k", "c"))
+    chunks = chunks.select(F.col("c.addresses").alias("address"), F.struct("row", "k").alias("place"), F.col("c.chunks").alias("ids"))
+    with cleaned_up(spark):
+        _first_of_each(chunks).write.option("compression", "none").parquet(f"{folder}/chunks")
+    summed = prefix_sums(encoded.select("doc_id", "root", "row", "n_tokens", "addresses"), ["doc_id", "root", "row"], "n_tokens", "start")
+    recipes = summed.select("doc_id", "start", "n_tokens", "addresses", "root").repartitionByRange(shuffle_width(spark), "start").sortWithinPartitions("start")
+    with cleaned_up(spark):
+        recipes.write.parquet(f"{folder}/recipes")
+    discard(encoded)
     manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(f"{_CHUNK}, first int").parquet(f"{folder}/chunks")
-
-
 def manifest(recipes: DataFrame) -> DataFrame:
     """A row for each recipe file, with the Merkle root over its documents' roots."""
 
@@ -179,41 +160,60 @@ def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return now.exceptAll(spark.read.parquet(f"{folder}/manifest"))
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) from the files alone, each chunk and document verified."""
-    recipes, chunks = spark.read.parquet(f"{folder}/recipes"), _chunks(spark, folder).where("first = 1")
-    wanted = recipes.select("start", F.posexplode("addresses").alias("k", "address"))
-    # Addresses are unique on the side of the chunks; one that very many documents want is split by AQE on the other.
-    parts = wanted.join(chunks.select("address", "ids"), "address", "left").groupBy("start").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    whole = recipes.join(parts, "start")
-
-    def join(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, start, n, addresses, root, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [unpack_ids(p["ids"]).tobytes() for p in sorted(parts, key=lambda p: p["k"])]
-                if [address(x) for x in found] != addresses or merkle(addresses) != root or sum(map(len, found)) != 4 * n:
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each place of a chunk, its ids beside it, sorted by start and k; a document's rows are in one partition.
+
+    A chunk that very many documents want is written out several times, and its places are dealt over those.
+    """
+    recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
+    wanted = recipes.select("start", "doc_id", "n_tokens", "root", F.size("addresses").alias("n"), F.posexplode("addresses").alias("k", "address"))
+    many = wanted.groupBy("address").count().where(F.col("count") > HEAVY).select("address", F.ceil(F.col("count") / HEAVY).cast("int").alias("salts"))
+    many = stored(many, "wanted-often")
+    if many.isEmpty():
+        found = wanted.join(chunks, "address", "left")
+    else:
+        wanted = wanted.join(many, "address", "left").withColumn("salt", F.pmod(F.xxhash64("start"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        chunks = chunks.join(many, "address", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        found = wanted.join(chunks, ["address", "salt"], "left")
+    return found.select("start", "k", "n", "doc_id", "n_tokens", "root", "address", "ids").repartition("start").sortWithinPartitions("start", "k")
+
+
+def _documents(batches, last: pa.DataType, value) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, n_tokens, value of the ids), from the rows of _parts, each chunk and document verified."""
+    addresses: list[bytes] = []
+    found: list[bytes] = []
+    names = ["doc_id", "start", "n_tokens", "ids"]
+    for batch in batches:
+        out = []
+        for start, k, n, doc, n_tokens, root, own, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = b"" if ids is None else unpack_ids(ids).tobytes()
+            if k != len(addresses) or address(raw) != own:
+                raise ValueError(f"document {doc} does not agree with its recipe")
+            addresses.append(own)
+            found.append(raw)
+            if len(found) == n:
+                if merkle(addresses) != root or sum(map(len, found)) != 4 * n_tokens:
                     raise ValueError(f"document {doc} does not agree with its recipe")
-                out.append((doc, start, n, b"".join(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "n_tokens", "ids"])
+                out.append((doc, start, n_tokens, value(b"".join(found))))
+                addresses, found = [], []
+        kinds = (pa.int64(), pa.int64(), pa.int64(), last)
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
 
-    whole = whole.select("doc_id", "start", "n_tokens", "addresses", "root", "parts")
-    return whole.mapInArrow(join, "doc_id long, start long, n_tokens long, ids binary")
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary) from the files alone, each chunk and document verified."""
+    return _parts(spark, folder).mapInArrow(lambda b: _documents(b, pa.binary(), bytes), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def store_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/token-store-{uuid.uuid4().hex}"
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of read_store's rows."""
-
-    def crc(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.array([zlib.crc32(x) for x in batch.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return found.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", given_id())
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32): what read_store gives, with the checksum of the ids in their place."""
+    found = _parts(spark, folder).mapInArrow(lambda b: _documents(b, pa.int64(), zlib.crc32), "doc_id long, start long, n_tokens long, ids long")
+    return found.select(given_id().alias("doc_id"), "start", "n_tokens", F.col("ids").alias("ids_crc32"))
 
 
-__all__ = ["NO_ID", "chunked", "cuts", "digests", "read_store", "store_folder", "verify_manifest", "write_store"]
+__all__ = ["NO_ID", "chunked", "cuts", "read_digests", "read_store", "store_folder", "verify_manifest", "write_store"]

@@ -15,21 +15,31 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a worker remembers, and the longest of them.
-MEMO, LONGEST = 400_000, 64
+#: Bytes that all memos of a worker may hold together, about; and the longest piece that is remembered.
+MEMO, LONGEST = 160 << 20, 64
+#: What an entry takes besides its characters and ids; places of the marks that a piece was met.
+_ENTRY, _MET = 200, 1 << 20
 
 
 class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; None if a text can't be cut at this piece's ends."""
+    """piece -> its ids as little-endian unsigned 32-bit integers; None if a text can't be cut at this piece's ends.
 
-    def __init__(self, make):
-        self.make = make
+    A piece is remembered when it is met for the second time, so that the many words of one place take no room.
+    """
+
+    def __init__(self, make, share: float):
+        self.make, self.most, self.held, self.met = make, MEMO * share - _MET, 0, bytearray(_MET)
 
     def __missing__(self, piece):
-        if len(self) > MEMO:
-            self.clear()
         ids = self.make(piece)
-        if len(piece) <= LONGEST:
+        mark = hash(piece) % _MET
+        if not self.met[mark]:
+            self.met[mark] = 1
+        elif len(piece) <= LONGEST:
+            self.held += _ENTRY + len(piece) + len(ids or b"")
+            if self.held > self.most:
+                self.clear()
+                self.held, self.met = 0, bytearray(_MET)
             self[piece] = ids
         return ids
 
@@ -47,34 +57,36 @@ class Encoder:
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         self.mapped = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         self.lead = level.pre_tokenize_str(" ")[0][0] if self.blanks else ""
-        self.marks = _Pieces(self.whole)
         self.line_end = self.whole("\n")
-        self.firsts = _Pieces(self._first)
-        self.pieces = _Pieces(self._after_blank if self.blanks else self._first)
-        self.others = _Pieces(self.whole)
+        # Shares of MEMO.
+        self.pieces = _Pieces(self._after_blank if self.blanks else self._first, 0.7)
+        self.firsts = _Pieces(self._first, 0.2)
+        self.others = _Pieces(self.whole, 0.07)
+        self.marks = _Pieces(self.whole, 0.03)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str, lead: str) -> bytes:
         """A word of letters alone, which the model sees as one."""
-        if self.blanks:
-            return array("I", [t.id for t in self.model.tokenize(lead + word.translate(self.mapped))]).tobytes()
-        return array("I", [t.id for t in self.model.tokenize(word.lower().translate(self.mapped))]).tobytes()
+        mapped = (word if self.blanks else word.lower()).translate(self.mapped)
+        return array("I", [t.id for t in self.model.tokenize(lead and self.lead + mapped or mapped)]).tobytes()
 
-    def _made(self, piece: str, lead: str, words: _Pieces) -> bytes:
+    def _made(self, piece: str, lead: str) -> bytes:
         """Letters and the marks after them are apart in both patterns; all else goes through the whole tokenizer."""
         if piece.isalpha():
             if max(piece) < "Ā":
                 return self._word(piece, lead)
         else:
             word = piece.rstrip(string.punctuation)
-            if len(word) < len(piece) and word.isalpha():
-                return words[word] + self.marks[piece[len(word) :]]
-        return self.whole(" " + piece if lead else piece)
+            # Where lower case adds a mark to the letters, that mark belongs to those after it.
+            if len(word) < len(piece) and word.isalpha() and (self.blanks or word.lower().isalpha()):
+                own = self.pieces if lead or not self.blanks else self.firsts
+                return own[word] + self.marks[piece[len(word) :]]
+        return self.whole(lead + piece)
 
     def _first(self, piece: str) -> bytes:
-        return self._made(piece, "", self.firsts if self.blanks else self.pieces)
+        return self._made(piece, "")
 
     def _after_blank(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -84,7 +96,7 @@ class Encoder:
             lines = piece.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 return self.pieces[lines[0]] + b"".join(self.line_end + self.firsts[x] for x in lines[1:])
-        return self._made(piece, self.lead, self.pieces)
+        return self._made(piece, " ")
 
     def special(self, text: str) -> bool:
         return any(x in text for x in self.literals)
