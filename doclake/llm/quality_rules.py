@@ -1,11 +1,14 @@
 """Quality rules under weak supervision, in DataFrame functions alone.
 
-Each rule votes a document good (1) or bad (-1), or abstains (0). Expectation-maximisation estimates how often each rule is right about
-good and about bad documents, without labels, from the counts of vote patterns (at most 3 ** rules rows); each document's
-posterior probability of being good then decides, instead of a demand that every rule be passed.
-
-Null, empty or blank texts have no words: they fail the base conditions and all rules abstain, so their posterior is the share of good
-documents. An empty table gives an empty table. Nothing depends on other columns or on row order; repeated rows count each.
+Each rule votes a document good (1) or bad (-1), or abstains (0). Bad documents are held to be of several kinds, one for what each
+rule looks for, since a fault is mostly seen by one rule while the others find nothing wrong. Expectation-maximisation
+estimates, without labels, the share of good documents and of each kind, and how each rule votes on each of them, from the counts of
+vote patterns (at most 3 ** rules rows). Each document's posterior probability of being good then decides, instead of a demand
+that every rule be passed: a single bad vote of a rule that is often wrong is outvoted.
+
+Null, empty or blank texts have no words: they fail the base conditions and all rules abstain. An empty table gives an empty
+table. Very long texts are measured whole, in memory of the order of the text. Nothing depends on other columns, whatever their
+names, or on row order; repeated rows count each, and ties can't arise: equal votes have equal posteriors.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ from .common import fresh, stored
 WHITE = " \t\n\x0b\x0c\r"
 _GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Positions of words take so many bits of a sort key; longer texts sort pairs instead.
-_PLACE = 24
 ROUNDS = 30
 KEEP_AT = 0.5
 
@@ -51,28 +52,22 @@ def _repeat_words(words: Column) -> Column:
     """Words in three-word windows that the text has twice or more."""
 
     def of_windows(hashes: Column) -> Column:
-        def by_key(keys: Column) -> Column:
-            # Equal windows are neighbours once sorted by (40 bits of the hash, place); whole hashes are compared.
-            place = lambda k: k.bitwiseAND(F.lit((1 << _PLACE) - 1))
-            own = lambda i: F.get(hashes, place(F.get(keys, i)).cast("int"))
-            again = F.filter(keys, lambda k, i: F.coalesce((own(i) == own(i + 1)), F.lit(False)) | F.coalesce((i > 0) & (own(i) == own(i - 1)), F.lit(False)))
-            return _covered(F.sort_array(F.transform(again, place)))
-
-        def by_pair(pairs: Column) -> Column:
+        def of_pairs(pairs: Column) -> Column:
+            # Sorted by (hash, place), so equal windows are neighbours.
             same = lambda i, j: F.coalesce(F.get(pairs, i)["h"] == F.get(pairs, j)["h"], F.lit(False))
             again = F.filter(pairs, lambda _, i: same(i, i + 1) | ((i > 0) & same(i, i - 1)))
             return _covered(F.sort_array(F.transform(again, lambda x: x["p"])))
 
-        short = _let(F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, _PLACE).bitwiseOR(i.cast("long")))), by_key)
-        long = _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("p")))), by_pair)
-        return F.when(F.size(hashes) < 1 << _PLACE, short).otherwise(long)
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("p"))))
+        # Texts without a repeated window need no sort.
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(pairs, of_pairs))
 
     windows = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     return _let(windows, of_windows)
 
 
 def measures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id and, per text, MEASURES and what the rules need besides: n_lines, n_upper, n_marks, n_stops."""
+    """doc_id and, per text, MEASURES and what the rules need besides: n_lines, n_upper, n_marks, n_digits, n_stops."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(WHITE))
     base = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _GAP)).alias("words"))
@@ -89,28 +84,29 @@ def measures(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         (chars - _less(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
         (chars - _less(F.col("text"), "!?=_~^@+")).cast("long").alias("n_marks"),
         (chars - _less(F.col("text"), "0123456789")).cast("long").alias("n_digits"),
+        (chars - _less(F.col("text"), ".,;:")).cast("long").alias("n_stops"),
     )
 
 
-def _rule(bad: Column, good: Column | None = None) -> Column:
-    out = F.when(F.col("n_words") == 0, 0).when(bad, -1)
-    return (out if good is None else out.when(good, 1)).otherwise(0).cast("int")
+def _rule(bad: Column, good: Column) -> Column:
+    return F.when(F.col("n_words") == 0, 0).when(bad, -1).when(good, 1).otherwise(0).cast("int")
 
 
 def rules() -> dict[str, Column]:
-    """Votes by name, over the columns of measures(). Rules that look for a fault abstain where they find none."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    symbols, upper, marks, digits = F.col("n_symbols") / chars, F.col("n_upper") / chars, F.col("n_marks") / words, F.col("n_digits") / chars
-    repeats, lines, length = F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") / words
+    """Votes by name, over the columns of measures(). Between its two limits a rule abstains."""
+    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    symbols, upper, digits = (F.col(c) / chars for c in ("n_symbols", "n_upper", "n_digits"))
+    marks, stops, repeats, length = (F.col(c) / words for c in ("n_marks", "n_stops", "n_repeat_words", "word_chars"))
+    same = F.col("n_dup_lines") / lines
     return {
-        "symbols": _rule(symbols > 0.1),
-        "capitals": _rule(upper > 0.4),
-        "marks": _rule(marks > 0.3),
-        "digits": _rule(digits > 0.3),
-        "repeats": _rule(repeats > 0.3),
-        "lines": _rule(lines > 0.3),
-        "word_length": _rule((length < 2) | (length > 15), (length > 3.5) & (length < 10)),
-        "length": _rule(F.col("n_words") < 5, F.col("n_words") >= 50),
+        "symbols": _rule(symbols > 0.03, symbols < 0.01),
+        "capitals": _rule(upper > 0.1, upper < 0.05),
+        "marks": _rule(marks > 0.05, marks < 0.02),
+        "digits": _rule(digits > 0.03, digits < 0.01),
+        "repeats": _rule(repeats > 0.3, repeats < 0.2),
+        "lines": _rule(same > 0.3, same < 0.2),
+        "word_length": _rule((length < 4) | (length > 8), (length > 4.5) & (length < 7)),
+        "stops": _rule((stops < 0.08) | (stops > 0.25), (stops > 0.1) & (stops < 0.2)),
     }
 
 
@@ -118,48 +114,69 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: Where expectation-maximisation starts: the share of good documents; how often a rule votes bad, and good, on a good and on a bad one.
-SHARE, BAD, GOOD = 0.8, (0.02, 0.4), (0.9, 0.6)
-Rates = list[tuple[tuple[float, float], tuple[float, float]]]
+#: Where expectation-maximisation starts: the share of good documents; how a rule votes (bad, not, good) on good ones and on bad
+#: ones of another kind, and on the kind that it looks for.
+SHARE, OFF, ON = 0.8, (0.05, 0.15, 0.8), (0.7, 0.2, 0.1)
+#: The starting values stay as a prior that weighs as much as so many documents, however many there are.
+PRIOR = 20
+#: Per kind its share, and per kind and rule how often it votes bad, not, good. Kind 0 is good.
+Model = tuple[list[float], list[list[list[float]]]]
+
+
+def start(n_rules: int) -> Model:
+    kinds = range(n_rules + 1)
+    shares = [SHARE if k == 0 else (1 - SHARE) / n_rules for k in kinds]
+    return shares, [[list(ON if k == j + 1 else OFF) for j in range(n_rules)] for k in kinds]
+
+
+def _kinds(votes: tuple[int, ...], logs: Model) -> list[float]:
+    """The posterior of each kind; logs: the model's logarithms."""
+    odds = [s + sum(r[v + 1] for r, v in zip(own, votes)) for s, own in zip(*logs)]
+    most = max(odds)
+    parts = [math.exp(x - most) for x in odds]
+    total = sum(parts)
+    return [x / total for x in parts]
+
 
+def _logs(model: Model) -> Model:
+    return [math.log(s) for s in model[0]], [[[math.log(x) for x in r] for r in own] for own in model[1]]
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, Rates]:
-    """The share of good documents, and per rule how often it votes (bad, good) on (good, bad) ones: expectation-maximisation.
 
-    patterns: documents by votes. Abstaining tells nothing, and a vote is held to be no likelier on the other kind. The starting
-    values stay as a prior that weighs as much as all documents; without it, votes that go together would decide what is good.
-    """
-    n, total = len(next(iter(patterns), ())), sum(patterns.values())
-    prior_good, prior_bad = total * SHARE, total * (1 - SHARE)
-    share, rates = SHARE, [(BAD, GOOD)] * n
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """Shares and rates by expectation-maximisation. patterns: documents by votes."""
+    n = len(next(iter(patterns), ()))
+    first = start(n)
+    model = first
     for _ in range(rounds):
-        good, bad = prior_good, prior_bad
-        votes_of = [[[prior_good * r[0], prior_bad * r[1]] for r in (BAD, GOOD)] for _ in range(n)]
+        logs = _logs(model)
+        shares = [prior * s for s in first[0]]
+        rates = [[[prior * s * x for x in r] for r in own] for s, own in zip(*first)]
         for votes, count in patterns.items():
-            p = posterior_of(votes, share, rates)
-            good, bad = good + p * count, bad + (1 - p) * count
-            for own, v in zip(votes_of, votes):
-                if v:
-                    own[v > 0][0] += p * count
-                    own[v > 0][1] += (1 - p) * count
-        share = good / (good + bad)
-        least = lambda x: min(0.9999, max(0.0001, x))
-        rates = []
-        for (a, b), (c, d) in votes_of:
-            a, b, c, d = least(a / good), least(b / bad), least(c / good), least(d / bad)
-            rates.append(((min(a, b), b), (c, min(c, d))))
-    return share, rates
+            for k, p in enumerate(_kinds(votes, logs)):
+                p *= count
+                shares[k] += p
+                for own, v in zip(rates[k], votes):
+                    own[v + 1] += p
+        total = sum(shares)
+        model = [s / total for s in shares], [[[x / sum(r) for x in r] for r in own] for own in rates]
+    return model
 
 
-def _weights(share: float, rates: Rates) -> tuple[float, list[tuple[float, float]]]:
-    """The prior's log odds, and each rule's for a vote of good and of bad."""
-    return math.log(share / (1 - share)), [(math.log(g[0] / g[1]), math.log(b[0] / b[1])) for b, g in rates]
+def posterior_of(votes: tuple[int, ...], model: Model) -> float:
+    return _kinds(votes, _logs(model))[0]
 
 
-def posterior_of(votes: tuple[int, ...], share: float, rates: Rates) -> float:
-    prior, weights = _weights(share, rates)
-    odds = prior + sum(w[0] if v > 0 else w[1] for v, w in zip(votes, weights) if v)
-    return 1 / (1 + math.exp(-odds))
+def _posterior(names: list[str], model: Model) -> Column:
+    """The same, of columns of votes."""
+    shares, rates = _logs(model)
+    others = F.lit(1.0)
+    for k in range(1, len(shares)):
+        odds = F.lit(shares[k] - shares[0])
+        for name, own, good in zip(names, rates[k], rates[0]):
+            bad, none, well = (x - y for x, y in zip(own, good))
+            odds = odds + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, well).otherwise(none)
+        others = others + F.exp(odds)
+    return 1 / others
 
 
 def score_quality(docs: DataFrame, id_col="doc_id", text_col="text", keep_at: float = KEEP_AT, rounds: int = ROUNDS) -> DataFrame:
@@ -169,11 +186,8 @@ def score_quality(docs: DataFrame, id_col="doc_id", text_col="text", keep_at: fl
     names = [f"vote_{k}" for k in votes]
     # At most 3 ** 8 rows.
     patterns = {tuple(r[:-1]): r[-1] for r in found.groupBy(*names).count().collect()}
-    prior, weights = _weights(*estimate(patterns, rounds)) if patterns else (0.0, [(0.0, 0.0)] * len(names))
-    odds = F.lit(prior)
-    for name, (good, bad) in zip(names, weights):
-        odds = odds + F.when(F.col(name) > 0, good).when(F.col(name) < 0, bad).otherwise(0.0)
-    found = found.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", base_failed())
+    model = estimate(patterns, rounds) if patterns else start(len(names))
+    found = found.withColumn("posterior", _posterior(names, model)).withColumn("base_failed", base_failed())
     found = found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at))
     return found.select("doc_id", *MEASURES, "base_failed", "kept", "posterior", *names)
 
