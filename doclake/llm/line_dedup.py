@@ -2,8 +2,9 @@
 
 A line's key is the line without white space at either end and with A-Z in lower case. A key of at least min_chars code
 points that is found in two documents or more keeps its lines only in the document of the smallest id. A first pass
-fills the filters of once-seen and twice-seen hashes; only lines that the second filter suspects are shuffled, as
-128-bit digests, to confirm the repeat and to choose the first document. Texts move once, to meet their own drop list.
+fills the filters of once-seen and twice-seen hashes, of a size that follows from the number of lines; only lines that the
+second filter suspects are shuffled, as 128-bit digests, to confirm the repeat and to choose the first document. (Where the
+filter is too large to broadcast, digests meet their slice of it first.) Texts move once, to meet their own drop list.
 
 Null or empty text: one empty line, kept. Null id: the largest id. Rows that share an id are one document to the choice
 of the first, and each is written. A line within one document only is never dropped, however often it is there.
@@ -19,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import repeated
+from .bloom import BROADCAST, Repeats, repeated, slices_for
 from .common import NO_ID, as_bytes, fresh, join_counted, narrow, stored
 
 #: White space that is stripped: space and \x09-\x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-#: 64 slices of 256 KiB: the broadcast filter has 16 MiB.
-SLICES = 64
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -41,27 +40,32 @@ def _keys(text: bytes | None, min_chars: int) -> set[bytes]:
     return {k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars))}
 
 
-def first_documents(docs: DataFrame, min_chars: int = MIN_CHARS, slices: int = SLICES) -> DataFrame:
+def first_documents(docs: DataFrame, min_chars: int = MIN_CHARS, slices: int | None = None, most: int = BROADCAST) -> DataFrame:
     """(doc_id, keys): the digests that each document loses, from a table of doc_id and text."""
+    if slices is None:
+        lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+        slices = slices_for(docs.agg(F.sum(lines)).first()[0] or 0)
 
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         keys = [k[:8] for t in as_bytes(batch.column(0)) for k in _keys(t, min_chars)]
         return np.frombuffer(b"".join(keys), "<u8")
 
-    filters = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), hashes, slices))
+    known = repeated(docs.select("text"), hashes, slices, most)
+    filters = docs.sparkSession.sparkContext.broadcast(known) if isinstance(known, Repeats) else None
 
-    def suspects(batches) -> Iterator[pa.RecordBatch]:
-        known = filters.value
+    def lines(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
             for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 own = list(_keys(t, min_chars))
                 ids += [i] * len(own)
                 keys += own
-            found = known.suspects(np.frombuffer(b"".join(k[:8] for k in keys), "<u8")).nonzero()[0].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in found], pa.binary()), pa.array([ids[j] for j in found], pa.int64())], names=["key", "doc_id"])
+            h = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
+            found = (filters.value.suspects(h).nonzero()[0] if filters else np.arange(len(h))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(h[found].view(np.int64)), pa.array([keys[j] for j in found], pa.binary()), pa.array([ids[j] for j in found], pa.int64())], names=["hash", "key", "doc_id"])
 
-    found = stored(docs.mapInArrow(suspects, "key binary, doc_id long"), "suspected-lines")
+    rows = docs.mapInArrow(lines, "hash long, key binary, doc_id long")
+    found = stored((rows if filters else known.only(rows)).drop("hash"), "suspected-lines")
     # Smallest and largest id combine before the shuffle, so a line of very many documents is a few rows.
     confirmed = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
     confirmed = confirmed.where("first < last").select("key", "first", "rows")
@@ -77,12 +81,12 @@ def _kept_lines(text: bytes | None, drop: set[bytes], min_chars: int) -> tuple[i
     return len(lines), len(lines) - len(keep), b"\n".join(keep)
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int = MIN_CHARS, slices: int = SLICES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int = MIN_CHARS, slices: int | None = None, most: int = BROADCAST) -> DataFrame:
     """docs with the kept text in its text column, and n_lines, n_dropped (long) after the given columns.
 
     A clashing column name gets underscores.
     """
-    lost = first_documents(narrow(docs, id_col, text_col), min_chars, slices)
+    lost = first_documents(narrow(docs, id_col, text_col), min_chars, slices, most)
     drops, key, n_lines, n_dropped = (fresh(docs, x) for x in ("drops", "drop_id", "n_lines", "n_dropped"))
     lost = lost.select(F.col("doc_id").alias(key), F.col("keys").alias(drops))
     # Drop lists are far smaller than texts: they are the built side, and the texts aren't sorted.
