@@ -6,25 +6,29 @@ the window's words are hit; an item shorter than the window must be met whole. C
 documents of which more than max_coverage is hit.
 
 Words: A-Z in lower case, then runs of what is neither ASCII punctuation, blank nor control. Null or empty texts have no
-words and stay as they are; items without words are never found; items that repeat are all reported. Items are read in
-blocks of at most BLOCK words, one automaton each, so that what is broadcast is bounded however long the test set is.
-Null item ids are not reported, but their windows count.
+words and stay as they are; items without words are never found; items that repeat are all reported. Null item ids are not
+reported, but their windows count. Repeated rows are judged each; very long texts are read whole. Empty tables: no documents, or none hit.
+
+Items are read in blocks of at most BLOCK words, one automaton each. With several, the documents are read once for each, so that
+a worker holds one automaton (some 120 MB) however long the test set is, and what they found is joined by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh
+from .common import as_bytes, fresh, stored
 
 WINDOW = 10
 #: Words of an automaton; it has at most twice as many states.
-BLOCK = 500_000
+BLOCK = 200_000
 #: Documents with a larger share of hit words are dropped.
 MAX_COVERAGE = 0.8
 
@@ -198,36 +202,71 @@ def contamination(docs: DataFrame, items: DataFrame, text_col="text", item_col="
 
     A clashing column name gets underscores.
     """
-    spark = docs.sparkSession
     names, at = docs.columns, docs.columns.index(text_col)
     added = [fresh(docs, x) for x in ("n_words", "n_hit", "items", "spans", "clean_text")]
-    # Each block's automaton is broadcast by itself; a task holds one after another and joins what they find.
-    shared = [spark.sparkContext.broadcast(Automaton(own, window)) for own in item_blocks(items, item_col, item_text, block)]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    blocks = item_blocks(items, item_col, item_text, block)
+    first, second = next(blocks, []), next(blocks, None)
+    kinds = ("long", "long", "array<string>", "array<struct<start:int,end:int>>", "string")
+    schema = docs.select("*", *(F.lit(None).cast(k).alias(c) for c, k in zip(added, kinds))).schema
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+
+        def hits_of(batch) -> Iterator[tuple[list[bytes], list, set]]:
+            for text in as_bytes(batch.column(at)):
+                own = word_list(text)
+                hit, item = shared.value.hits(own)
+                yield own, hit, {shared.value.names[k] for k in item}
+
+        return docs.mapInArrow(lambda batches: _reported(batches, at, names, added, hits_of), schema)
+
+    row, hits, found = (fresh(docs, x) for x in ("row", "hits", "found"))
+    base = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    parts = [_block_hits(base.select(row, text_col), Automaton(own, window)) for own in chain((first, second), blocks)]
+    every = reduce(DataFrame.unionByName, parts)
+    every = every.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias(hits), F.flatten(F.collect_list("found")).alias(found)).withColumnRenamed("row", row)
+    joined = base.join(every, row, "left").select(*names, hits, found)
+
+    def joined_hits(batch) -> Iterator[tuple[list[bytes], list, set]]:
+        for text, own, item in zip(as_bytes(batch.column(at)), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+            yield word_list(text), [(h["start"], h["end"]) for h in own or ()], set(item or ())
+
+    return joined.mapInArrow(lambda batches: _reported(batches, at, names, added, joined_hits), schema)
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _block_hits(texts: DataFrame, automaton: Automaton) -> DataFrame:
+    """(row, hits, found) of the texts that an automaton hits; written, so that the automaton may go."""
+    shared = texts.sparkSession.sparkContext.broadcast(automaton)
 
     def find(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            counts, hits, found, spans, clean = [], [], [], [], []
-            for text in texts:
-                own = word_list(text)
-                hit, item = [], set()
-                for automaton in (x.value for x in shared):
-                    more, which = automaton.hits(own)
-                    hit += more
-                    item |= {automaton.names[k] for k in which}
-                hit = _union(hit)
-                counts.append(len(own))
-                hits.append(sum(b - a for a, b in hit))
-                found.append(sorted(x for x in item if x is not None))
-                spans.append([{"start": a, "end": b} for a, b in hit])
-                clean.append(None if text is None else without(text, hit))
-            extra = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span), pa.array(clean, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *added])
+            rows = []
+            for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                hit, item = shared.value.hits(word_list(text))
+                if hit:
+                    rows.append((row, [{"start": a, "end": b} for a, b in hit], [shared.value.names[k] for k in item]))
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), _SPAN, pa.list_(pa.string())))], names=["row", "hits", "found"])
+
+    out = stored(texts.mapInArrow(find, "row long, hits array<struct<start:int,end:int>>, found array<string>"), "block-hits")
+    shared.destroy()
+    return out
 
-    kinds = ("long", "long", "array<string>", "array<struct<start:int,end:int>>", "string")
-    schema = docs.select("*", *(F.lit(None).cast(k).alias(c) for c, k in zip(added, kinds))).schema
-    return docs.mapInArrow(find, schema)
+
+def _reported(batches, at: int, names: list[str], added: list[str], hits_of) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, hits, found, spans, clean = [], [], [], [], []
+        for text, (own, hit, item) in zip(as_bytes(batch.column(at)), hits_of(batch)):
+            hit = _union(hit)
+            counts.append(len(own))
+            hits.append(sum(b - a for a, b in hit))
+            found.append(sorted(x for x in item if x is not None))
+            spans.append([{"start": a, "end": b} for a, b in hit])
+            clean.append(None if text is None else without(text, hit))
+        extra = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, _SPAN), pa.array(clean, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *extra], names=[*names, *added])
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col="text", max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
