@@ -19,13 +19,32 @@ def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
     return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
 
 
+def _counts(buckets: Column) -> Column:
+    """(bucket, n) of each bucket in sorted buckets: one pass."""
+    entry = lambda k, n: F.struct(k.alias("bucket"), n.alias("n"))
+    none = F.array().cast("array<struct<bucket:int,n:double>>")
+    start = F.struct(none.alias("done"), F.lit(-1).alias("bucket"), F.lit(0.0).alias("n"))
+
+    def step(a: Column, k: Column) -> Column:
+        same = a["bucket"] == k
+        done = F.when(same | (a["bucket"] < 0), a["done"]).otherwise(F.concat(a["done"], F.array(entry(a["bucket"], a["n"]))))
+        return F.struct(done.alias("done"), k.alias("bucket"), F.when(same, a["n"] + 1).otherwise(F.lit(1.0)).alias("n"))
+
+    return F.aggregate(buckets, start, step, lambda a: F.concat(a["done"], F.array(entry(a["bucket"], a["n"]))))
+
+
 def embed_text(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Feature hashing: token counts by bucket, scaled to length 1; null where there is no token."""
-    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: (F.size(b) - F.size(F.array_remove(b, k))).cast("double"))
-    unit = lambda c: F.transform(c, lambda x: (x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))).cast("float"))
     one = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  computed once
-    found = one(F.transform(tokens(text), lambda t: bucket(t, dimensions)), lambda b: F.when(F.size(b) > 0, one(counts(b), unit)))
-    return found
+
+    def dense(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
+        by_bucket = F.map_from_entries(counts)
+        spread = lambda m, n: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: (F.coalesce(F.try_element_at(m, k), F.lit(0.0)) / n).cast("float"))
+        return one(F.struct(by_bucket.alias("m"), length.alias("n")), lambda x: spread(x["m"], x["n"]))
+
+    found = F.array_sort(F.transform(tokens(text), lambda t: bucket(t, dimensions)))
+    return one(found, lambda b: F.when(F.size(b) > 0, one(_counts(b), dense)))
 
 
 def embed_image(content: Column, dimensions: int = DIMENSIONS) -> Column:

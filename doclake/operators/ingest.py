@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,13 @@ def with_keys(uploads: DataFrame, results: str = "results") -> DataFrame:
 
 
 def dedupe(uploads: DataFrame, stored: DataFrame | None = None, arrival: str = "arrival") -> DataFrame:
-    """status success for the first upload of a hash that isn't stored yet, already_processed for all others."""
-    first = F.row_number().over(Window.partitionBy("file_hash").orderBy(arrival)) == 1
-    out = uploads.withColumn("first", first)
+    """status success for the first upload of a hash that isn't stored yet, already_processed for all others; arrivals differ.
+
+    The first arrival of a hash is found by an aggregate, which combines before it is shuffled, however many copies there are.
+    """
+    firsts = uploads.groupBy("file_hash").agg(F.min(arrival).alias("first_arrival"))
+    out = uploads.join(firsts, uploads["file_hash"].eqNullSafe(firsts["file_hash"])).drop(firsts["file_hash"])
+    out = out.withColumn("first", F.col(arrival) == F.col("first_arrival")).drop("first_arrival")
     if stored is None:
         there = F.lit(False)
     else:

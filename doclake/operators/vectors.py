@@ -7,6 +7,7 @@ places before they are ranked; equal scores go by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +129,8 @@ def _ranked(scored: DataFrame, limit: int, distance: str, by: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-#: Rows of a block of points, and of queries.
-BLOCK = 2048
+#: Rows of a block of points, and of queries; queries that meet the points at a time, so that what is broadcast is bounded.
+BLOCK, ASKED = 2048, 1 << 16
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
@@ -147,11 +148,12 @@ def _blocks(rows: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
     return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(pack, f"{prefix}ids array<long>, {prefix}data binary")
 
 
-def knn_blocks(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE") -> DataFrame:
+def knn_blocks(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE", asked: int = ASKED) -> DataFrame:
     """The best points for each of many queries: blocks of vectors meet blocks of queries, one matrix product a pair.
 
-    What leaves a pair of blocks is `limit` rows a query, so the ranking sees no more than that from each block of points.
-    All vectors have one size. query_id, point_id, score, rank.
+    What leaves a pair of blocks is `limit` rows a query, so the ranking sees no more than that from each block of points. Queries
+    meet the points in groups of about ASKED, each broadcast by itself (33 MB at 64 numbers a vector); a group is a read of the
+    points. All vectors have one size. query_id, point_id, score, rank.
     """
 
     def best(batches) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,9 @@ def knn_blocks(points: DataFrame, queries: DataFrame, limit: int = 10, distance:
             for ids, data, qids, qdata in zip(*(c.to_pylist() for c in batch.columns)):
                 p, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(qdata).reshape(len(qids), -1)
                 if distance == "EUCLID":
-                    found = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] - 2 * q @ p.T + (p * p).sum(1)))
+                    # From differences, as norms would lose the digits of near points; some points at a time.
+                    step = max(1, 2_000_000 // q.size)
+                    found = np.concatenate([np.sqrt(((q[:, None] - p[None, k : k + step]) ** 2).sum(2)) for k in range(0, len(p), step)], axis=1)
                 else:
                     found = q @ p.T
                     if distance == "COSINE":
@@ -173,8 +177,14 @@ def knn_blocks(points: DataFrame, queries: DataFrame, limit: int = 10, distance:
                     [pa.array(np.array(qids)[rows]), pa.array(np.array(ids)[order.ravel()]), pa.array(values, mask=np.isnan(values))], names=["query_id", "point_id", "score"]
                 )
 
-    pairs = _blocks(points, "point_id", "vector", "").crossJoin(_blocks(queries, "query_id", "query", "q"))
-    return _ranked(pairs.mapInArrow(best, "query_id long, point_id long, score double"), limit, distance)
+    groups = max(1, -(-queries.count() // asked))
+    parts = []
+    for group in range(groups):
+        own = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group)
+        blocks = _blocks(own, "query_id", "query", "q").withColumn("group", F.lit(group))
+        pairs = _blocks(points, "point_id", "vector", "").withColumn("group", F.lit(group)).join(F.broadcast(blocks), "group").drop("group")
+        parts.append(pairs.mapInArrow(best, "query_id long, point_id long, score double"))
+    return _ranked(reduce(DataFrame.unionByName, parts), limit, distance)
 
 
 def knn_per_file(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE", ids: str = "point_id") -> DataFrame:

@@ -199,6 +199,30 @@ def _(spark, sf):
     return found.select("query_id", "point_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# One vector, that of the point 20, asks all points: the best are taken where they are.
+
+
+def _top_sql(where: str) -> str:
+    return with_("points") + f"""select point_id, file_hash, score from (select p.point_id, p.file_hash, round({_SCORES['COSINE']}, 6) as score
+      from points p join (select * from points where point_id = 20) q on true where {where}) order by score desc, point_id limit 10"""
+
+
+def _top(spark, sf, where=None):
+    points = fx.points(spark, sf)
+    asked = [float(x) for x in points.where("point_id = 20").first().vector]
+    return vectors.knn(points, asked, 10, where=where).select("point_id", "file_hash", "score")
+
+
+@query("knn_top", _top_sql("true"))
+def _(spark, sf):
+    return _top(spark, sf)
+
+
+@query("knn_top_filtered", _top_sql("p.collection = 'b' and p.file_hash <> '3'"))
+def _(spark, sf):
+    return _top(spark, sf, (F.col("collection") == "b") & (F.col("file_hash") != "3"))
+
+
 @query("knn_batch", _knn_sql(limit=25))
 def _(spark, sf):
     points = fx.points(spark, sf)
@@ -230,6 +254,22 @@ def _(spark, sf):
     return _literals(spark, sf).select("point_id", status.alias("status"), F.aggregate(vector, F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
+def _whole_literal(spark, sf):
+    asked = fx.points(spark, sf).where("point_id = 20").first().vector
+    return ",".join(repr(float(x)) for x in asked)
+
+
+@query(
+    "vector_search_whole_literal",
+    with_("points") + f"""select point_id, round({_SCORES['DOT']}, 6) as score, file_hash from (select p.* from points p) p join (select * from points where point_id = 20) q on true
+      order by score desc, point_id limit 5""".replace("select point_id, round", "select p.point_id, round").replace("score, file_hash", "score, p.file_hash").replace("score desc, point_id", "score desc, p.point_id"),
+)
+def _(spark, sf):
+    vector, _ = vectors.parse_vector(F.lit(_whole_literal(spark, sf)), 64)
+    found = fx.points(spark, sf).withColumn("score", vectors.score("DOT", F.col("vector"), vector))
+    return found.orderBy(F.desc("score"), "point_id").limit(5).select("point_id", "score", "file_hash")
+
+
 @query(
     "vector_search_literal",
     with_("points") + """select point_id, round(v[1] * 0.5 + v[2] * -0.25 + v[3] * 1.0 + v[4] * 0.125, 6) as score, file_hash from (select point_id, file_hash, vector::double[] as v from points) order by score desc, point_id limit 5""",
@@ -463,13 +503,18 @@ def _(spark, sf):
     return _prompts(spark, sf, _answers(spark, sf)[2])
 
 
-@query("llm_answer")
+@query("llm_answer", with_("all_questions", "records", then=_ANSWERS) + f"select question_id, string_split(context, chr(10))[1] as answer, null::varchar as error from ({_CONTEXT_SQL})")
 def _(spark, sf):
     found = qa.attach_images(_all_answers(spark, sf)[2], _images(spark, sf))
     return generate.llm_answer(qa.prompts(found), "question_id")
 
 
-@query("ask_document")
+@query(
+    "ask_document",
+    with_("all_questions", "records", then=_ANSWERS)
+    + f"""select question_id, question, context, coalesce(n_answers, 0) as n_answers, string_split(context, chr(10))[1] as answer, null::varchar as error
+      from questions left join ({_CONTEXT_SQL}) using (question_id)""",
+)
 def _(spark, sf):
     asked, points, _ = _all_answers(spark, sf)
     return qa.ask(asked, points, _images(spark, sf), 5)

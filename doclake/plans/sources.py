@@ -87,7 +87,7 @@ def _(spark, sf):
     return objects.file_of_hash(fx.objects(spark, sf), fx.lines(spark, sf).select("file_hash"))
 
 
-@query("dir_images_base64")
+@query("dir_images_base64", "select 'd' || doc_id || '.PNG' as name, base64(encode(text)) as image_base64 from documents where doc_id % 2 = 0")
 def _(spark, sf):
     pictures = table(spark, sf, "documents").select(F.concat(F.lit("images/d"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".PNG").otherwise(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     return objects.images_base64(pictures)

@@ -17,6 +17,12 @@ def write_objects(objects: DataFrame, path: str, buckets: int = BUCKETS) -> None
     objects.withColumn("bucket", bucket("path", buckets)).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(97))).write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def _dealt(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """A bucket's rows are in a few tasks, so that it gets a few files, and no task gets a whole bucket of a hot key."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(7))
+    return rows.withColumn("bucket", bucket(key, buckets)).repartition("bucket", salt)
+
+
 def record_key() -> Column:
     """embeddings/{hash}/element_{i}.json, with _caption or _footnote for those parts."""
     suffix = F.when(F.col("part") == "main", "").otherwise(F.concat(F.lit("_"), F.col("part")))
@@ -24,16 +30,16 @@ def record_key() -> Column:
 
 
 def write_records(records: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    records.withColumn("key", record_key()).withColumn("bucket", bucket("file_hash", buckets)).write.mode("append").partitionBy("bucket").json(path)
+    _dealt(records.withColumn("key", record_key()), "file_hash", buckets).write.mode("append").partitionBy("bucket").json(path)
 
 
 def write_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    results.withColumn("bucket", bucket("file_hash", buckets)).write.mode("append").partitionBy("bucket").json(path)
+    _dealt(results, "file_hash", buckets).write.mode("append").partitionBy("bucket").json(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, doc: str = "doc_id", buckets: int = BUCKETS) -> None:
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.withColumn("bucket", bucket(doc, buckets)).write.mode("append").partitionBy("bucket").parquet(f"{path}/{name}")
+        _dealt(df, doc, buckets).write.mode("append").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
