@@ -6,6 +6,7 @@ chain the nodes; PARENT edges hang content under the last header before it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +73,34 @@ def parent_edges_by_level(nodes: DataFrame, doc: str = "doc_id", level: str = "l
     return seen.select(doc, F.lit("PARENT").alias("rel"), nearest.cast("long").alias("src"), F.col("node_id").alias("dst"))
 
 
+def parent_edges_by_key(nodes: DataFrame, doc: str = "doc_id", key: str = "key", tolerance: float = 1.0) -> DataFrame:
+    """The stack rule: a header (key not null) nests under the last open one whose key is smaller by more than the tolerance, and
+    closes those that aren't; content (key null) hangs under the last open header.
+
+    With a tolerance that isn't the nearest header with a smaller key, since what was closed stays closed. One walk over rows
+    sorted by document and node, which holds the open headers of one document.
+    """
+    kind = nodes.schema[doc].dataType.simpleString()
+
+    def walk(batches):
+        last, stack = None, []
+        for batch in batches:
+            out = []
+            for own, node, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != last:
+                    last, stack = own, []
+                if size is not None:
+                    while stack and not size > stack[-1][1] + tolerance:
+                        stack.pop()
+                out.append(stack[-1][0] if stack else ROOT)
+                if size is not None:
+                    stack.append((node, size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), batch.column(1)], names=[doc, "src", "dst"])
+
+    rows = nodes.select(doc, F.col("node_id").cast("long"), F.col(key).cast("double")).repartition(doc).sortWithinPartitions(doc, "node_id")
+    return rows.mapInArrow(walk, f"{doc} {kind}, src long, dst long").select(doc, F.lit("PARENT").alias("rel"), "src", "dst")
+
+
 def add_documents(nodes: DataFrame, edges: DataFrame, new: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with the regions of documents that aren't there yet, their document nodes and both kinds of edges."""
     fresh = new.join(nodes.select(doc).distinct(), doc, "left_anti").select(doc, "node_id", "label", "text")

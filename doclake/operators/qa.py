@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed, generate
-from . import vectors
+from . import elements, vectors
 
 SYSTEM = "You answer questions from the given context. If the answer is not in the context, say so."
 ILLUSTRATED = ("image", "table")
@@ -27,6 +27,21 @@ def index_status(questions: DataFrame, points: DataFrame, storable: DataFrame) -
     return out.withColumn("indexed", indexed).withColumn("status", F.when(indexed, "success").otherwise("error")).drop("has", "can")
 
 
+def index_missing(questions: DataFrame, points: DataFrame, results: DataFrame, images: DataFrame, embedder: Callable[[Column], Column] = embed.embed_text) -> tuple[DataFrame, DataFrame]:
+    """(questions with status and indexed, points with those of the files that were missing).
+
+    A question's file without points is looked up in results (elements of parse results, with file_hash): what is there becomes
+    records, which are embedded as points; a file that isn't there either is an error. Only asked and missing files are read on.
+    """
+    asked = questions.select("file_hash").distinct()
+    missing = asked.join(points.select("file_hash").distinct(), "file_hash", "left_anti")
+    found = elements.explode_records(results.join(missing, "file_hash", "left_semi"), images)
+    columns = [c for c in points.columns if c not in ("seq", "vector", "text")]
+    seq = F.when(F.col("part") == "main", 0).when(F.col("part") == "caption", 1).otherwise(2).cast("long")
+    new = found.select(*columns, seq.alias("seq"), F.col("content").alias("text"), embedder(F.col("content")).alias("vector"))
+    return index_status(questions, points, results.select("file_hash").distinct()), points.unionByName(new)
+
+
 def answers(questions: DataFrame, points: DataFrame, limit: int = 10, embedder: Callable[[Column], Column] = embed.embed_text) -> DataFrame:
     """The best points of each question's own file: question_id, question, rank, score and the points' payload.
 

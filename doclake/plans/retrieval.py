@@ -318,6 +318,13 @@ def _(spark, sf):
     return graph.regions_plain(fx.elements(spark, sf)).select("doc_id", "node_id", "label", "text")
 
 
+@query("parent_edges_tolerant")
+def _(spark, sf):
+    """Headers are elements with a level or a page's first; their key is where they stand on the page."""
+    nodes = fx.elements(spark, sf).where("type <> 'discarded'").select("doc_id", F.col("element_index").alias("node_id"), F.when(F.col("text_level").isNotNull(), F.col("element_index") * 7 % 10).alias("key"))
+    return graph.parent_edges_by_key(nodes)
+
+
 @query("graph_regions_full", with_("elements", then=_NODES) + "select doc_id, node_id, label, text, element_index from nodes")
 def _(spark, sf):
     return _nodes(spark, sf)
@@ -449,6 +456,22 @@ def _(spark, sf):
     return _index_missing(spark, sf, fx.questions(spark, sf))
 
 
+@query(
+    "ask_indexes_missing",
+    with_("all_questions", "records")
+    + """select question_id, case when doc_id % 3 < 2 then 'success' else 'error' end as status, doc_id % 3 < 2 as indexed, case when doc_id % 3 < 2 then coalesce(n, 0) else 0 end::bigint as n_points
+      from questions left join (select doc_id, count(*) as n from kept group by doc_id) using (doc_id)""",
+)
+def _(spark, sf):
+    """A third of the files has points, a third has parse results only, and is indexed when it is asked, a third has nothing."""
+    asked = fx.all_questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
+    there = fx.elements(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
+    records = elements.explode_records(there.where("doc_id % 3 = 0"), fx.images(spark, sf))
+    status, points = qa.index_missing(asked, _points(records), there.where("doc_id % 3 = 1"), fx.images(spark, sf))
+    counted = points.groupBy("file_hash").agg(F.count("*").alias("n_points"))
+    return status.join(counted, "file_hash", "left").select("question_id", "status", "indexed", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+
+
 _FOUND_SQL = "select question_id, element_index, element_type, content as text, round(score, 4) as score, rank, page_idx from answers"
 
 

@@ -195,3 +195,75 @@ def test_files_arrive(spark, tmp_path):
     stream.run(stream.arrivals(spark, f"{tmp_path}/in"), f"{tmp_path}/files", f"{tmp_path}/state").awaitTermination()
     assert one(spark.read.parquet(f"{tmp_path}/files").select("filename", "size")) == [("a.pdf", 3)]
     assert [r.path for r in objects.listing(spark, f"{tmp_path}/in").orderBy("path").collect()] == ["a.pdf", "b.txt"]
+
+
+def test_parents_with_tolerance(spark):
+    """The stack rule against a plain walk; a tolerance isn't the nearest smaller key."""
+    import random
+
+    from doclake.operators import graph
+
+    rng = random.Random(1)
+    rows = [(d, k, rng.choice([None, *range(9)])) for d in range(30) for k in range(40)]
+    want = set()
+    for d in range(30):
+        stack = []
+        for _, k, key in rows[40 * d : 40 * d + 40]:
+            while key is not None and stack and key <= stack[-1][1] + 1:
+                stack.pop()
+            want.add((d, "PARENT", stack[-1][0] if stack else -1, k))
+            if key is not None:
+                stack.append((k, key))
+    df = spark.createDataFrame(rows, "doc_id long, node_id long, key int").repartition(3)
+    assert {tuple(r) for r in graph.parent_edges_by_key(df).collect()} == want
+    few = spark.createDataFrame([(1, 0, 1), (1, 1, 4), (1, 2, 5), (1, 3, 4)], "doc_id long, node_id long, key int")
+    assert [r.src for r in graph.parent_edges_by_key(few).orderBy("dst").collect()] == [-1, 0, 0, 0]
+
+
+def test_search_in_groups_of_queries(spark):
+    import numpy as np
+
+    from doclake.operators import vectors
+
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "point_id long, vector array<double>")
+    queries = points.where("point_id < 50").selectExpr("point_id as query_id", "vector as query")
+    for distance in ("COSINE", "DOT", "EUCLID"):
+        one = sorted(map(tuple, vectors.knn_blocks(points, queries, 5, distance).collect()))
+        assert one == sorted(map(tuple, vectors.knn_blocks(points, queries, 5, distance, asked=13).collect())) and len(one) == 250
+
+
+def test_near_points_keep_their_distance(spark):
+    from doclake.operators import vectors
+
+    points = spark.createDataFrame([(1, [1e6, 0.0]), (2, [1e6 + 0.001, 0.0])], "point_id long, vector array<double>")
+    found = vectors.knn_blocks(points, points.selectExpr("point_id as query_id", "vector as query"), 2, "EUCLID")
+    assert {r.score for r in found.where("query_id <> point_id").collect()} == {0.001}
+
+
+def test_clients_embed_in_batches(spark):
+    """A client gets up to so many texts a call, and its failure is the job's."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from doclake.functions import embed
+
+    def make():
+        def client(texts):
+            assert len(texts) <= 7
+            return [[float(len(t)), float(len(texts))] for t in texts]
+
+        return client
+
+    df = spark.range(20, numPartitions=1).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
+    found = df.select("text", embed.client_udf(make, batch=7)(F.col("text")).alias("v")).collect()
+    assert all(r.v[0] == len(r.text) for r in found) and {r.v[1] for r in found} == {7.0, 6.0}
+
+    def broken():
+        def client(texts):
+            raise RuntimeError("no service")
+
+        return client
+
+    with pytest.raises(Exception, match="no service"):
+        df.select(embed.client_udf(broken)(F.col("text"))).collect()
