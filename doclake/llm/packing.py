@@ -8,7 +8,8 @@ fill what is left by best fit, longest first. The plan is a list of runs (a patt
 it). The k-th piece of a length finds its place in it by k alone, so pieces are numbered where they are.
 
 Null or empty text: the end id alone. A null id is kept as null and sorted as the largest. Repeated rows are packed each.
-Ties between equal lengths go by id, then piece, then checksum.
+Ties between equal lengths go by their place in the table. Very long texts are many pieces, all but the first full. An empty table
+gives an empty table; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -179,28 +180,36 @@ def places(runs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in out.items()}
 
 
-#: Each length's pieces are numbered in so many parts.
-PARTS = 32
+#: Pieces of one length are numbered in parts of about so many.
+PART = 1000
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """Add k: the place of a piece among those of its length, from 0. A length that a third of all pieces have is numbered in parts."""
-    salted = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
-    own = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+def numbered(found: DataFrame, histogram: dict[int, int], part: int = PART) -> DataFrame:
+    """Add k: the place of a piece among those of its length, from 0. A length is numbered in parts, so no task has all of a common one.
+
+    found: pieces with a column row, which differs.
+    """
+    sizes = [max(1, -(-histogram.get(n, 0) // part)) for n in range(max(histogram, default=0) + 1)]
+    share = F.get(F.array(*map(F.lit, sizes)), F.col("length").cast("int")) if max(sizes) > 1 else F.lit(1)
+    salted = found.withColumn("part", F.pmod(F.xxhash64("row"), share).cast("int"))
+    own = Window.partitionBy("length", "part").orderBy("row")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "part").count()
     counts = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    # At most size * PARTS rows, whatever the corpus.
-    return salted.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(counts), ["length", "part"]).withColumn("k", (F.col("k") + F.col("base")).cast("long")).drop("part", "base")
+    # A row a length and part: both sides are dealt by these.
+    return salted.withColumn("k", F.row_number().over(own) - 1).join(counts, ["length", "part"]).withColumn("k", (F.col("k") + F.col("base")).cast("long")).drop("part", "base", "row")
 
 
 def pack(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None, size: int = SIZE, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = path or vocabulary("byte_bpe_50k.json")
-    found = stored(pieces(narrow(docs, id_col, text_col), path, size, end_id), "pieces")
+    found = stored(pieces(narrow(docs, id_col, text_col), path, size, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     # At most `size` rows.
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().toLocalIterator()}
-    where = places(plan(histogram, size, groups))
+    runs = plan(histogram, size, groups)
+    # Each run but for a few uses up a length in a group, or a small length: that bounds what is broadcast.
+    assert len(runs) <= 4 * (size + groups)
+    where = places(runs)
     shared = docs.sparkSession.sparkContext.broadcast(where)
 
     def place(batches) -> Iterator[pa.RecordBatch]:
@@ -214,5 +223,5 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = N
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    out = numbered(found).mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
+    out = numbered(found, histogram).mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
     return out.withColumn("doc_id", given_id())

@@ -16,7 +16,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes that all memos of a worker may hold together, about; and the longest piece that is remembered.
-MEMO, LONGEST = 160 << 20, 64
+MEMO, LONGEST = 320 << 20, 64
 #: What an entry takes besides its characters and ids; places of the marks that a piece was met.
 _ENTRY, _MET = 200, 1 << 20
 
