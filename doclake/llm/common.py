@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,13 @@ _own_root: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of our own only where the session names none (tests)."""
+    """The folder that all executors share; a temporary one of our own only where a local session names none (tests)."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="doclake-")
     return _own_root

@@ -8,10 +8,12 @@ two such vectors is at most the Hamming distance, so linked fingerprints are at
 six groups; at most three groups can differ, so any linked pair agrees on three whole groups: these are the cells of the
 grid, 20 for each fingerprint. Within a cell the Manhattan bound is tested first and the Hamming distance after it, and
 the cell gives only a star for each of its own components, not its pairs. A cell of more than CELL fingerprints is cut by
-the same argument over the groups in which its members may differ.
+the same argument over the fingerprints' bits, those that are still open, in six groups: 20 inner cells, which fix half of the open
+bits each. That is repeated while a cell is too large; with 11 open bits or fewer none can be.
 
 Only distinct fingerprints take part; copies join their component at the end. Null, empty or blank texts have
-fingerprint zero, like any other. Null id: the largest, null in results. Repeated rows get the same component.
+fingerprint zero, like any other. Null id: the largest, null in results. Repeated rows get the same component. Very long texts are
+hashed whole, at 16 bytes and a bit row a shingle. An empty table gives an empty table; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, as_bytes, fresh, given_id, join_counted, narrow, stored
+from .common import MOST_HEAVY, NO_ID, as_bytes, discard, fresh, given_id, join_counted, mix, narrow, stored
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 GROUPS = 6
@@ -70,32 +72,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(segments: list[int], groups: int) -> list[tuple[int, list[int]]]:
-    """For each choice of half of the groups into which segments are dealt: its bits, and the segments that are left."""
-    at = [segments[len(segments) * k // groups : len(segments) * (k + 1) // groups] for k in range(groups)]
-    out = []
-    for chosen in combinations(range(groups), groups - DISTANCE):
-        mask = sum(3 << 2 * s for g in chosen for s in at[g])
-        out.append((mask, [s for g in range(groups) if g not in chosen for s in at[g]]))
-    return out
+def _choices(places: list[int], groups: int = GROUPS) -> list[list[int]]:
+    """For each choice of half of the groups into which places are dealt: its places."""
+    at = [places[len(places) * k // groups : len(places) * (k + 1) // groups] for k in range(groups)]
+    return [[p for g in chosen for p in at[g]] for chosen in combinations(range(groups), groups - DISTANCE)]
 
 
-#: Per cell its bits, and those of the cells within it.
-_CELLS = [(mask, _masks(rest, GROUPS)) for mask, rest in _masks(list(range(32)), GROUPS)]
+#: Per cell the bits of its segments.
+_CELLS = [sum(3 << 2 * s for s in own) for own in _choices(list(range(32)))]
 
 
 def _cells(points: DataFrame) -> DataFrame:
-    """(cell, key, fp): every fingerprint in its 20 cells."""
-    keys = F.array(*(F.struct(F.lit(k).alias("cell"), F.col("code").bitwiseAND(F.lit(_signed(mask))).alias("key")) for k, (mask, _) in enumerate(_CELLS)))
-    return points.select("fp", "code", F.explode(keys).alias("c")).select("c.cell", "c.key", "fp", "code")
+    """(cell, key, fp, code, open): every fingerprint in its 20 cells; open: the bits on which the cell's members may differ."""
+    keys = F.array(*(F.struct(F.lit(k).cast("long").alias("cell"), F.col("code").bitwiseAND(F.lit(_signed(mask))).alias("key")) for k, mask in enumerate(_CELLS)))
+    # Equal counts still leave bits open, so all are.
+    return points.select("fp", "code", F.explode(keys).alias("c")).select("c.cell", "c.key", "fp", "code", F.lit(-1).cast("long").alias("open"))
 
 
-def _cut(large: DataFrame) -> DataFrame:
-    """Cells within cells: a linked pair also agrees on three of six groups of what the cell leaves open."""
-    choices = F.array(*(F.array(*(F.lit(_signed(m)) for m, _ in own)) for _, own in _CELLS))
-    each = large.select("cell", "key", "fp", "code", F.posexplode(F.get(choices, F.col("cell"))).alias("choice", "mask"))
-    inner = (F.col("cell") + 1) * len(_CELLS) + F.col("choice")
-    return each.select(inner.cast("int").alias("cell"), F.xxhash64("key", F.col("code").bitwiseAND(F.col("mask"))).alias("key"), "fp", "code")
+def _cut(batches) -> Iterator[pa.RecordBatch]:
+    """Cells within cells: a linked pair also agrees on three of six groups of the open bits."""
+    for batch in batches:
+        cell, key, fp, code, open_ = (c.to_numpy().view(np.uint64) for c in batch.columns)
+        for mask in np.unique(open_).tolist():
+            own = open_ == mask
+            for k, places in enumerate(_choices([b for b in range(64) if mask >> b & 1])):
+                fixed = sum(1 << b for b in places)
+                inner = mix(cell[own] * np.uint64(20) + np.uint64(k + 20))
+                keys = mix(key[own] ^ mix(fp[own] & np.uint64(fixed)))
+                left = np.full(len(inner), mask & ~fixed, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (inner, keys, fp[own], code[own], left)], names=batch.schema.names)
 
 
 def _stars(codes: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -146,40 +151,63 @@ def _links(batches) -> Iterator[pa.RecordBatch]:
         yield from of(*held)
 
 
+_DEALT = "cell long, key long, fp long, code long, open long"
+
+
+def bounded(points: DataFrame, cell: int = CELL) -> DataFrame:
+    """The cells of points (fp, code), cut until each has `cell` members at most, or so few open bits that it can't have more than 2048."""
+    dealt, done = _cells(points), None
+    while True:
+        counts = dealt.where(F.bit_count("open") > 11).groupBy("cell", "key").agg(F.count("*").alias("rows"))
+        crowded = stored(counts.where(F.col("rows") > cell), "crowded-cells")
+        if crowded.isEmpty():
+            return dealt if done is None else done.unionByName(dealt)
+        # Rows of a crowded cell stay where they are: join_counted's heavy keys.
+        large = stored(join_counted(dealt, crowded, ["cell", "key"], "rows").select("cell", "key", "fp", "code", "open"), "crowded-rows")
+        few = crowded.count() <= MOST_HEAVY
+        rest = dealt.join(F.broadcast(crowded) if few else crowded, ["cell", "key"], "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        dealt = large.mapInArrow(_cut, _DEALT)
+
+
 def links(points: DataFrame, cell: int = CELL) -> DataFrame:
     """(a, b) of fingerprints: stars that connect whatever is linked. points: distinct fp."""
-    dealt = _cells(points.select("fp", unary(F.col("fp")).alias("code")))
-    crowded = dealt.groupBy("cell", "key").count().where(F.col("count") > cell).select("cell", "key")
-    crowded = stored(crowded, "crowded-cells")
-    if not crowded.isEmpty():
-        large = dealt.join(crowded, ["cell", "key"], "left_semi")
-        dealt = dealt.join(crowded, ["cell", "key"], "left_anti").unionByName(_cut(large))
+    dealt = bounded(points.select("fp", unary(F.col("fp")).alias("code")), cell)
     ordered = dealt.select("cell", "key", "code", "fp").repartition("cell", "key").sortWithinPartitions("cell", "key", "fp")
     return stored(ordered.mapInArrow(_links, "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that edges (a, b) reach. Labels spread along edges, then jump to their label's label."""
+    """(node, root): the least node that edges (a, b) reach. Labels spread along edges, then jump to their label's label.
+
+    A node of very many edges, or a label of very many nodes, is not shuffled: join_counted.
+    """
     both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = stored(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    label = stored(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("root"), F.count("*").alias("edges")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        spread = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        above = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        beside = label.select(F.col("node").alias("b"), "root", "edges")
+        near = join_counted(both, beside, "b", "edges").groupBy("a").agg(F.min("root").alias("near"))
+        spread = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "edges", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        spread = stored(spread, "spread")
+        many = spread.groupBy("root").agg(F.count("*").alias("rows"))
         # up is a label of the round before: never larger than the node it labels.
-        after = stored(spread.join(above, "root").select("node", "was", F.least("root", "up").alias("root")), "labels")
-        label = after.select("node", "root")
+        above = many.join(label.select(F.col("node").alias("root"), F.col("root").alias("up")), "root")
+        after = stored(join_counted(spread, above, "root", "rows").select("node", "edges", "was", F.least("root", "up").alias("root")), "labels")
+        discard(label, spread)
+        label = after
         if after.where("root <> was").isEmpty():
-            return label
+            discard(both)
+            return label.select("node", "root")
 
 
 def _least(found: DataFrame, cell: int) -> DataFrame:
     """(fp, least, rows) of a table of fp and place: the least place in the fingerprint's component, and the fingerprint's rows."""
     points = stored(found.groupBy("fp").agg(F.min("place").alias("first"), F.count("*").alias("rows")), "points")
     roots = components(links(points.select("fp"), cell)).select(F.col("node").alias("fp"), "root")
-    placed = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("least"))
-    return placed.join(least, "root").select("fp", "least", "rows")
+    placed = stored(points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    discard(points)
+    least = placed.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("prints"))
+    return join_counted(placed, least, "root", "prints").select("fp", "least", "rows")
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", cell: int = CELL) -> DataFrame:
