@@ -1,8 +1,9 @@
 """The corpus pipeline: language ID, line dedup, near-duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of
-documents; where a stage changes texts, n_chars follows. Null ids, repeated rows and further columns go through; empty
-tables give empty tables.
+documents; where a stage changes texts, n_chars follows. Null ids, repeated rows and further columns, whatever their names, go
+through; empty tables give empty tables. Empty texts go in the first stage. Very long texts are read whole by every stage, and
+packed in pieces. Of equal texts the one with the smallest id stays, and of rows that are equal too, all: they are one document.
 """
 
 from __future__ import annotations
@@ -20,10 +21,18 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+#: Documents are judged by the languages that documents of other folds make.
+FOLDS = 5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no language that the table names, go."""
-    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = language_id.predict(docs, language_id.profiles(docs), pred=pred, score=score)
+    """Documents without a letter, or like no language that other documents' labels name, go."""
+    fold = fresh(docs, "fold")
+    own = docs.withColumn(fold, language_id.fold_of(docs["doc_id"], FOLDS).cast("int"))
+    learned = language_id.without_own(language_id.fold_profiles(own, own[fold]), FOLDS)
+    pred = fresh(own, "lang_pred")
+    score = fresh(own.withColumn(pred, F.lit("")), "score")
+    found = language_id.predict(own, learned, fold=fold)
     return found.where((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= language_id.MIN_SCORE)).select(*docs.columns)
 
 
