@@ -26,7 +26,7 @@ _ARROW = pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.b
 #: Bits of a filter for each hash; slices that may be broadcast: 64 MiB.
 BITS, BROADCAST = 8, 256
 #: A task gives its bits away after so many hashes, so that its memory is bounded.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 
 
 def slices_for(hashes: int) -> int:
