@@ -44,6 +44,12 @@ def op5_quality_rules(spark, sf_dir):
     return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "posterior")
 
 
+def quality_measures(spark, sf_dir):
+    """What op5_quality_rules measures, without its verdicts: this part has SQL."""
+    found = quality_rules.measures(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.MEASURES, quality_rules.base_failed().alias("base_failed"))
+
+
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.in_fold(F.col("doc_id"), 5, 0)
@@ -72,7 +78,7 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash)
+    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, quality_measures)
     return {f.__name__: f for f in own}
 
 
@@ -117,8 +123,27 @@ from doc_words d left join hits using (doc_id) left join items using (doc_id)
 """
 
 
+#: The measures of the quality rules in SQL.
+QUALITY_MEASURES = r"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+worded as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from texts),
+windows as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from worded where len(w) > 2)),
+repeated as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from windows) where n > 1),
+covered as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from repeated) group by doc_id),
+lines as (select doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from texts)
+  where trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+again as (select doc_id, count(*) - count(distinct line) as n from lines group by doc_id),
+measured as (
+  select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         coalesce(a.n, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+  from worded left join again a using (doc_id) left join covered c using (doc_id))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from measured
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE}
+    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "quality_measures": QUALITY_MEASURES}
 
 
 __all__ = ["given_id", "oracle_sql", "queries"]

@@ -15,7 +15,7 @@ from llm_tools import texts_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from doclake.llm import bloom, decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store, tokens
+from doclake.llm import bloom, decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, queries, simhash, suffix_dedup, token_counts, token_store, tokens
 from doclake.llm.common import NO_ID, join_counted, prefix_sums
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -849,3 +849,13 @@ def test_join_counted(spark):
     left = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("v"))
     right = left.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("top"))
     assert bag(join_counted(left, right, "key", "n").select("v", "top")) == bag(left.join(right, "key").select("v", "top"))
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, duck, name):
+    from tools import rows
+
+    assert rows(queries.queries()[name](spark, sf).toPandas()) == rows(duck.sql(queries.oracle_sql()[name]).df())
