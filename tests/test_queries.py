@@ -1,5 +1,7 @@
 """Every registered query against its SQL, or at least its schema."""
 
+import contextlib
+
 import pytest
 from tools import rows
 
@@ -44,3 +46,22 @@ def test_rest_stands_alone():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"(from|import)\s+[\w.]*\bllm\b", path.read_text()), path
+
+
+def test_missing_requirements_leave_the_rest(monkeypatch):
+    """If what the training-data part needs can't be imported, the other queries are there."""
+    import importlib
+
+    import __spark_entry__
+
+    whole = importlib.import_module
+
+    def broken(name, *rest):
+        if name.startswith("doclake.llm") or name == "corpus_pipeline":
+            raise ImportError("no xxhash")
+        return whole(name, *rest)
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    with pytest.warns(UserWarning, match="left out") if __spark_entry__._there("doclake.llm") else contextlib.nullcontext():
+        found = __spark_entry__.queries()
+    assert set(found) == set(registry.queries())
