@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import BROADCAST, Repeats, repeated, slices_for
-from .common import HEAVY, as_bytes, discard, given_id, join_counted, mix, narrow, prefix_sums, shuffle_width, stored
+from .common import as_bytes, discard, given_id, join_counted, mix, narrow, prefix_sums, shuffle_width, stored
 
 LENGTH, GRAM = 100, 40
 #: Windows that are looked at together.
 CHUNK = 1 << 17
 #: Rows of a range of names, where there are few; texts that are looked at together.
 RANGE, TEXTS = 20_000, 2000
+#: Anchors of fewer suffixes are never dealt by name.
+MANY = 100
 #: Anchors of more phrases are dealt out by window.
 CROWDED = 4096
 _WORD = 8
@@ -388,7 +390,7 @@ def _sample(hashed: DataFrame) -> DataFrame:
 
 
 def _heavy(hashed: DataFrame) -> np.ndarray:
-    """Anchors of so many suffixes that their orders are dealt by name: 4 for a partition at most."""
+    """Anchors of so many suffixes that their orders are dealt by name: 16 for a partition at most."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +399,7 @@ def _heavy(hashed: DataFrame) -> np.ndarray:
 
     counted = hashed.mapInArrow(count, "anchor long, rows long").groupBy("anchor").agg(F.sum("rows").alias("rows"))
     counted = stored(counted.where(F.col("rows") > 1), "anchors")
-    least = max(HEAVY, (counted.agg(F.sum("rows")).first()[0] or 0) // (4 * shuffle_width(hashed.sparkSession)))
+    least = max(MANY, (counted.agg(F.sum("rows")).first()[0] or 0) // (16 * shuffle_width(hashed.sparkSession)))
     found = np.sort(np.array([r[0] for r in counted.where(F.col("rows") > least).select("anchor").collect()], np.int64))
     discard(counted)
     return found
