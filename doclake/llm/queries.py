@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store
+from . import decontaminate, filter_audit, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store
 from .common import given_id
 
 
@@ -77,8 +77,12 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, quality_measures)
+    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, op13_filter_audit, quality_measures)
     return {f.__name__: f for f in own}
 
 
@@ -142,8 +146,42 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed fro
 """
 
 
+#: All orders of five filters by their definition, document by document.
+FILTER_AUDIT = r"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+worded as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as first from texts),
+marked as (
+  select d.doc_id, part,
+         (len(w) < 200)::int as a, (100 * len(list_distinct(w)) < 50 * len(w))::int as b,
+         (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::int as c,
+         regexp_matches(text, '[#$%&*|]')::int as d, (d.doc_id > first)::int as e,
+         coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from worded d left join (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id) l on l.doc_id = d.doc_id),
+grouped as (
+  select part, a, b, c, d, e, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from marked group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select p.x || q.x || r.x || s.x || t.x as filter_order from letters p, letters q, letters r, letters s, letters t
+  where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+fails as (
+  select s.filter_order, s.step, g.part, g.n, g.good, g.toxic,
+         case filter_order[step] when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end = 1 as own,
+         (a = 1 and instr(filter_order[1 : step - 1], 'A') > 0) or (b = 1 and instr(filter_order[1 : step - 1], 'B') > 0) or (c = 1 and instr(filter_order[1 : step - 1], 'C') > 0)
+           or (d = 1 and instr(filter_order[1 : step - 1], 'D') > 0) or (e = 1 and instr(filter_order[1 : step - 1], 'E') > 0) as earlier,
+         a + b + c + d + e as failed
+  from steps s cross join grouped g),
+counted as (
+  select part, filter_order, step, coalesce(sum(n) filter (not own and not earlier), 0)::bigint as kept, coalesce(sum(n) filter (own and not earlier), 0)::bigint as removed,
+         coalesce(sum(n) filter (own and earlier), 0)::bigint as redundant, coalesce(sum(n) filter (own and failed = 1), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (own and not earlier), 0)::bigint as good_lost, coalesce(sum(toxic) filter (own and not earlier), 0)::bigint as toxic_lost
+  from fails group by part, filter_order, step)
+select *, sum(removed) over (partition by part, filter_order[step])::bigint as shapley from counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "quality_measures": QUALITY_MEASURES}
+    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op13_filter_audit": FILTER_AUDIT, "quality_measures": QUALITY_MEASURES}
 
 
 __all__ = ["given_id", "oracle_sql", "queries"]
