@@ -112,24 +112,25 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFr
     return joined.withColumn(out, (F.col(base) + F.coalesce(F.sum(value).over(own), F.lit(0))).cast("long")).drop(part, base)
 
 
-#: A key of more rows is heavy; so many heavy keys may be broadcast.
-HEAVY, MOST_HEAVY = 1000, 50_000
+#: A key of fewer rows is never heavy.
+HEAVY = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], rows: str) -> DataFrame:
-    """left joined to right, whose keys are unique and whose column `rows` counts a key's rows in left (or is more).
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to right, whose keys are unique and whose column `rows` counts a key's rows in left (or is more).
 
-    Rows of a heavy key are not shuffled: the heavy keys alone are broadcast, if there are few enough of them; else the join is
-    left to AQE. left should be cheap to read twice.
+    A key is heavy if it has more than a sixteenth of a partition's share of the counted rows, so there are at most 16 a partition of
+    them, however large the input: these are broadcast, and their rows stay where they are. left should be cheap to read twice.
     """
     keys = [key] if isinstance(key, str) else key
     right = right if hasattr(right, "_stored_at") else stored(right, "counted")
-    heavy, n = right.where(F.col(rows) > HEAVY), right.where(F.col(rows) > HEAVY).limit(MOST_HEAVY + 1).count()
-    if not 0 < n <= MOST_HEAVY:
-        return left.join(right.drop(rows), key)
-    top = F.broadcast(heavy.drop(rows))
-    light = left.join(F.broadcast(heavy.select(*keys)), key, "left_anti").join(right.where(F.col(rows) <= HEAVY).drop(rows), key)
-    return left.join(top, key).unionByName(light)
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    limit = max(HEAVY, total // (16 * shuffle_width(left.sparkSession)))
+    heavy = right.where(F.col(rows) > limit)
+    if heavy.isEmpty():
+        return left.join(right.drop(rows), key, how)
+    light = left.join(F.broadcast(heavy.select(*keys)), key, "left_anti").join(right.where(F.col(rows) <= limit).drop(rows), key, how)
+    return left.join(F.broadcast(heavy.drop(rows)), key).unionByName(light)
 
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store
-from .common import given_id
+from . import decontaminate, filter_audit, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store, warc
+from .common import given_id, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,21 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark, sf_dir):
+    folder = warc.archive_folder(spark)
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    found = stored(warc.read_warc(spark, folder, payloads=False), "records")
+    if not warc.gaps(found).isEmpty():
+        raise ValueError("the archive that was just written has damaged bytes")
+    return warc.whole(found).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, op13_filter_audit, quality_measures)
+    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, op11_warc, op13_filter_audit, quality_measures)
     return {f.__name__: f for f in own}
 
 
@@ -146,6 +155,15 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed fro
 """
 
 
+#: Which pages revisit which, and the digests of their payloads.
+WARC = """
+with payloads as (select page_id, coalesce(html, '') as html from pages),
+marked as (select *, case when strlen(html) >= 1000 then max(page_id) over (partition by html) else page_id end as target from payloads)
+select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest, case when page_id = target then 'response' else 'revisit' end as record_type,
+       case when page_id <> target then target end as refers_to
+from marked
+"""
+
 #: All orders of five filters by their definition, document by document.
 FILTER_AUDIT = r"""
 with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
@@ -181,7 +199,7 @@ select *, sum(removed) over (partition by part, filter_order[step])::bigint as s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op13_filter_audit": FILTER_AUDIT, "quality_measures": QUALITY_MEASURES}
+    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op11_warc": WARC, "op13_filter_audit": FILTER_AUDIT, "quality_measures": QUALITY_MEASURES}
 
 
 __all__ = ["given_id", "oracle_sql", "queries"]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HEAVY, NO_ID, as_bytes, discard, fresh, given_id, join_counted, mix, narrow, stored
+from .common import NO_ID, as_bytes, discard, fresh, given_id, join_counted, mix, narrow, stored
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 GROUPS = 6
@@ -164,8 +164,7 @@ def bounded(points: DataFrame, cell: int = CELL) -> DataFrame:
             return dealt if done is None else done.unionByName(dealt)
         # Rows of a crowded cell stay where they are: join_counted's heavy keys.
         large = stored(join_counted(dealt, crowded, ["cell", "key"], "rows").select("cell", "key", "fp", "code", "open"), "crowded-rows")
-        few = crowded.count() <= MOST_HEAVY
-        rest = dealt.join(F.broadcast(crowded) if few else crowded, ["cell", "key"], "left_anti")
+        rest = dealt.join(crowded, ["cell", "key"], "left_anti")
         done = rest if done is None else done.unionByName(rest)
         dealt = large.mapInArrow(_cut, _DEALT)
 

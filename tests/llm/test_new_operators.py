@@ -1,12 +1,19 @@
 """Operators 11 to 13 against plain Python."""
 
+import gzip
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 from math import factorial
 
-from doclake.llm import filter_audit
+import pytest
+from pyspark.sql import functions as F
+
+from doclake.llm import filter_audit, warc
+from doclake.llm.common import join_counted
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,3 +103,139 @@ def test_audit_of_copies(spark):
 
 def test_audit_of_nothing(spark, empty):
     assert filter_audit.audit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
+
+
+# WARC.
+
+
+def archived(rows, least=1000):
+    """[(page_id, payload_bytes, digest, type, refers_to)] of (page_id, html)."""
+    out = []
+    for i, html in rows:
+        own = (html or "").encode()
+        same = [j for j, h in rows if (h or "") == (html or "") and j is not None] if len(own) >= least else []
+        target = max(same) if same and max(same) != i else None
+        out.append((i, len(own), hashlib.sha1(own).hexdigest(), "response" if target is None else "revisit", target))
+    return sorted(out, key=repr)
+
+
+def read_back(spark, folder):
+    found = warc.whole(warc.read_warc(spark, folder)).collect()
+    return found, sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.type, r.refers_to) for r in found), key=repr)
+
+
+ODD_PAGES = [(1, "x" * 1000), (2, "x" * 1000), (9, "x" * 1000), (9, "x" * 1000), (None, "x" * 1000), (3, "x" * 999), (4, "x" * 999), (5, None), (6, ""), (7, "é" * 500), (8, "é" * 500), (10, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 30), (None, "only nulls" * 200), (None, "only nulls" * 200), (11, "\x1f\x8b\x08 \u0000 \r\n\r\n" * 200), (12, "long " * 400_000)]
+
+
+@pytest.mark.parametrize("gzipped", [True, False])
+def test_warc_of_odd_rows(spark, tmp_path, gzipped):
+    rows = [(i, ("http://a/b c\n", None, "")[k % 3], h, "clash", "clash") for k, (i, h) in enumerate(ODD_PAGES)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string, target string").repartition(3)
+    warc.write_warc(pages, f"{tmp_path}/w", gzipped=gzipped, block=5000, blocks=2)
+    found, own = read_back(spark, f"{tmp_path}/w")
+    assert own == archived(ODD_PAGES) and warc.gaps(warc.read_warc(spark, f"{tmp_path}/w")).isEmpty()
+    text = {i: h or "" for i, h in ODD_PAGES}
+    assert all(bytes(r.payload).decode() == text[r.page_id] for r in found if r.page_id is not None)
+    assert {r.url for r in found if r.page_id == 1} == {"http://a/b%20c%0A"} and {r.url for r in found if r.page_id == 2} == {"urn:page:2"}
+
+
+def test_warc_members_are_gzip(spark, tmp_path):
+    """Other gzip readers read the files: members one after another, each record whole."""
+    warc.write_warc(spark.createDataFrame([(k, "u", "text" * k) for k in range(50)], "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
+    assert data.count(b"WARC/1.1\r\n") == 51 and data.endswith(b"\r\n\r\n")
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
+    assert read_back(spark, f"{tmp_path}/w") == ([], [])
+
+
+def records_of(gzipped, n=40):
+    rng = random.Random(n)
+    made = [warc.page_record(k, f"u{k}", bytes(rng.choices(b"abc \r\n", k=rng.choice([0, 5, 300, 3000]))), b"k%d" % k, None) for k in range(n)]
+    return [warc._member(r) for r in made] if gzipped else made
+
+
+@pytest.mark.parametrize("gzipped", [True, False])
+def test_salvage_of_damaged_files(gzipped):
+    """Whatever bytes are changed, cut out or put in: records that weren't touched are read, gaps and records tile the file."""
+    parts = records_of(gzipped)
+    starts = [sum(map(len, parts[:k])) for k in range(len(parts) + 1)]
+    data, rng = b"".join(parts), random.Random(7)
+    ids = lambda found: [int(x[3].fields.get("x-page-id", -1)) for x in found if x[0] == "record"]
+    assert ids(warc.salvage(data)) == list(range(len(parts)))
+    for _ in range(150):
+        at, n = rng.randrange(len(data)), rng.choice([1, 2, 50, 5000])
+        kind = rng.choice(["change", "cut", "put"])
+        if kind == "change":
+            broken = data[:at] + bytes(b ^ rng.randrange(1, 256) for b in data[at : at + n]) + data[at + n :]
+        elif kind == "cut":
+            broken = data[:at] + data[at + n :]
+        else:
+            broken = data[:at] + bytes(rng.randrange(256) for _ in range(n)) + data[at:]
+        reach = at + (0 if kind == "put" else min(n, len(data) - at))
+        touched = {k for k in range(len(parts)) if starts[k] < max(reach, at + 1) and starts[k + 1] > at}
+        found = list(warc.salvage(broken))
+        got = ids(found)
+        assert set(range(len(parts))) - touched <= set(got)
+        # What no digest covers, the header of a plain record, may change and leave it valid; all else that was touched is a gap.
+        assert not gzipped or not touched & set(got) or broken[: len(data)] == data
+        at_ = 0
+        for kind_, start, stop, _ in found:
+            assert start == at_ and stop > start
+            at_ = stop
+        assert at_ == len(broken)
+
+
+def test_salvage_names_what_failed():
+    good = warc.page_record(1, "u", b"payload " * 20, b"k", None)
+    other = warc.page_record(2, "u", b"more", b"k", None)
+    def reasons(data):
+        return [x[1:] if x[0] == "gap" else x[3].fields["x-page-id"] for x in warc.salvage(data)]
+    n = len(good)
+    assert reasons(good.replace(b"payload", b"PAYLOAD") + other) == [(0, n, "digest"), "2"]
+    assert reasons(good[:-30] + other) == [(0, n - 30, "length"), "2"]
+    assert reasons(b"junk" + other) == [(0, 4, "version"), "2"]
+    assert reasons(other + b"WARC/1.1\r\nno header") == ["2", (len(other), len(other) + 19, "header")]
+    inside = warc._member(good.replace(b"payload", b"PAYLOAD") + other)
+    assert reasons(inside) == [(0, n, "digest in member at 0"), "2"]
+    cut = warc._member(good)[:-9]
+    assert reasons(cut + other + warc._member(good)) == [(0, len(cut), "member"), "2", "1"]
+    # A record in the payload of a damaged one, whose frame is whole, is not one of its own.
+    nest = warc.page_record(3, "u", b"\r\n\r\n" + other, b"k", None)
+    assert reasons(nest.replace(b"HTTP/1.1 200", b"HTTP/1.1 500") + other) == [(0, len(nest), "digest"), "2"]
+    assert zlib.decompressobj(31).decompress(warc.NOTHING) == b"" and list(warc.salvage(warc.NOTHING)) == [] and list(warc.salvage(b"")) == []
+
+
+def test_damaged_archive(spark, tmp_path):
+    """Files that lost bytes: the rest is read, gaps are logged, a revisit whose response was lost keeps nulls."""
+    rows = [(k, "u", f"page {k} " * 200 if k % 2 else "copies " * 300) for k in range(60)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w", block=4000, blocks=3)
+    lost = set()
+    for k, path in enumerate(sorted((tmp_path / "w").glob("part-*"))):
+        data = bytearray(path.read_bytes())
+        for kind, start, stop, what in list(warc.salvage(bytes(data))):
+            if "x-page-id" in what.fields and int(what.fields["x-page-id"]) in (5, 21, 58):
+                data[start + 40] ^= 255
+                lost.add(int(what.fields["x-page-id"]))
+        (tmp_path / "broken").mkdir(exist_ok=True)
+        (tmp_path / "broken" / path.name).write_bytes(data)
+    assert lost == {5, 21, 58}
+    found = warc.read_warc(spark, f"{tmp_path}/broken")
+    assert {r.page_id for r in found.where("kind = 'record'").collect()} == set(range(60)) - lost
+    assert [r.reason for r in warc.gaps(found).collect()] == ["member"] * 3
+    assert all(r.refers_to is None and r.payload is None for r in warc.whole(found).where("type = 'revisit'").collect())
+
+
+def test_join_counted_with_very_many_heavy_keys(spark):
+    """Tens of thousands of keys of over 1,000 rows and one of a third of all: at most 16 keys a partition are broadcast."""
+    counts = spark.range(60_000).select(F.col("id").alias("key"), (F.when(F.col("id") == 7, 30_000_000).otherwise(1001)).alias("n"), (F.col("id") * 2).alias("value"))
+    left = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 70_000).alias("key"), "id")
+    found = join_counted(left, counts, "key", "n")
+    key = lambda k: 7 if k % 3 == 0 else k % 70_000
+    want = sorted((k, 2 * key(k)) for k in range(200_000) if key(k) < 60_000)
+    assert sorted((r.id, r.value) for r in found.collect()) == want
+    outer = join_counted(left, counts, "key", "n", "left")
+    assert outer.count() == 200_000 and outer.where("value is null").count() == 200_000 - len(want)
+    assert "Broadcast" in found._jdf.queryExecution().toString()
