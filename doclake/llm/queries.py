@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store, warc
+from . import collocations, decontaminate, filter_audit, language_id, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, token_store, warc
 from .common import given_id, stored
 
 
@@ -86,12 +86,16 @@ def op11_warc(spark, sf_dir):
     return warc.whole(found).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, op11_warc, op13_filter_audit, quality_measures)
+    own = (op1_line_dedup, op2_suffix_dedup, op3_decontaminate, op4_token_store, op5_quality_rules, op6_language_id, op7_token_counts, op8_best_fit_packing, op9_quality_model, op10_simhash, op11_warc, op12_collocations, op13_filter_audit, quality_measures)
     return {f.__name__: f for f in own}
 
 
@@ -164,6 +168,32 @@ select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_dig
 from marked
 """
 
+#: Phrases of up to four words, counted as they stand.
+COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
+sizes as (select unnest([1, 2, 3, 4]) as m),
+grams as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) as g from worded, sizes where len(w) >= m),
+counted as (select lang, m, g, count(*)::bigint as f from grams group by all having count(*) >= 30),
+candidates as (select lang, m, g, f as a from counted where m > 1),
+cuts as (
+  select c.lang, c.m, c.g, c.a, k, x.f as l, y.f as r, ((2000000::hugeint * c.a) // (x.f + y.f))::bigint as score
+  from (select *, unnest(range(1, m)) as k from candidates) c
+  join counted x on x.lang = c.lang and x.g = c.g[1 : c.k] join counted y on y.lang = c.lang and y.g = c.g[c.k + 1 : c.m]),
+lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner_ as (
+  select lang, unnest(list_transform(range(1, m - s + 2), lambda i: g[i : i + s - 1])) as g, a
+  from (select *, unnest(range(2, m)) as s from candidates where m > 2)),
+around as (select lang, g, max(a) as longer from inner_ group by lang, g),
+kept as (
+  select c.lang, array_to_string(c.g, ' ') as phrase, c.a, c.l, c.r, c.score from lowest c left join around o on o.lang = c.lang and o.g = c.g
+  where o.longer is null or 100::hugeint * o.longer < 80::hugeint * c.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select k.lang, rank, phrase, a, l, r, t.n, score from ranked k join totals t on t.lang = k.lang where rank <= 2000
+"""
+
 #: All orders of five filters by their definition, document by document.
 FILTER_AUDIT = r"""
 with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
@@ -199,7 +229,7 @@ select *, sum(removed) over (partition by part, filter_order[step])::bigint as s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op11_warc": WARC, "op13_filter_audit": FILTER_AUDIT, "quality_measures": QUALITY_MEASURES}
+    return {"op1_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op11_warc": WARC, "op12_collocations": COLLOCATIONS, "op13_filter_audit": FILTER_AUDIT, "quality_measures": QUALITY_MEASURES}
 
 
 __all__ = ["given_id", "oracle_sql", "queries"]

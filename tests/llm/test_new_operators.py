@@ -9,10 +9,12 @@ from collections import Counter
 from itertools import permutations
 from math import factorial
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from doclake.llm import filter_audit, warc
+from doclake.llm import collocations, filter_audit, warc
 from doclake.llm.common import join_counted
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,3 +241,87 @@ def test_join_counted_with_very_many_heavy_keys(spark):
     outer = join_counted(left, counts, "key", "n", "left")
     assert outer.count() == 200_000 and outer.where("value is null").count() == 200_000 - len(want)
     assert "Broadcast" in found._jdf.queryExecution().toString()
+
+
+# Collocations.
+
+
+def mined(docs, least, longest=4, top=2000, within=80, scale=2_000_000):
+    """[(lang, rank, phrase, a, l, r, n, score)] by the definition."""
+    counts, n = {}, Counter()
+    for text, lang in docs:
+        text, lang = (text or "").translate({c: c + 32 for c in range(65, 91)}), "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for size in range(1, longest + 1):
+                for k in range(len(w) - size + 1):
+                    counts.setdefault(lang, Counter())[tuple(w[k : k + size])] += 1
+    out = []
+    for lang, own in counts.items():
+        often = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in often.items():
+            score, k = min((scale * a // (own[p[:k]] + own[p[k:]]), k) for k in range(1, len(p)))
+            if not any(100 * b >= within * a for q, b in often.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))):
+                rows.append((-score, -a, " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        out += [(lang, k, p.decode(), -a, lo, r, n[lang], -score) for k, (score, a, p, lo, r) in enumerate(sorted(rows)[:top], 1)]
+    return sorted(out)
+
+
+def phrased(rng, n=120):
+    """Texts of few words, so that phrases repeat, with every separator and odd words."""
+    words = ["the", "The", "of", "a", "new", "york", "City", "É", "日本", "x-y", "\u00a0", "\x00b", "\x1c", "'s"] + [f"rare{k}" for k in range(60)]
+    weights = [8, 3, 6, 6, 4, 4, 3, 2, 2, 2, 1, 1, 1, 1] + [0.1] * 60
+    docs = []
+    for k in range(n):
+        own = rng.choices(words, weights, k=rng.choice([0, 3, 40, 200]))
+        text = "".join(w + rng.choice([" ", " ", " ", " ", "\t", "  ", ". ", ",", "\n", "\r", "\x0b", "; "]) for w in own)
+        docs.append((text, ("en", "de", None, "")[k % 7 % 4]))
+    return [*docs, (None, "en"), ("", None), ("new york city. " * 50, "en"), ("aa " * 3000, "en")]
+
+
+@pytest.mark.parametrize("head_words,head_units", [(1 << 18, 1 << 20), (9, 12), (0, 0), (40, 0)])
+def test_collocations_are_the_definition(spark, head_words, head_units):
+    """With all words and units known by id, with few, and with none: the counts are the same."""
+    docs = phrased(random.Random(11))
+    df = spark.createDataFrame([(t, lang, "clash", "clash") for t, lang in docs], "text string, lang string, n string, phrase string").repartition(5)
+    found = collocations.collocations(df, least=4, top=40, head_words=head_words, head_units=head_units)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = mined(docs, 4, top=40)
+    assert sorted(map(tuple, found.collect())) == want and {len(r[2].split(" ")) for r in want} == {2, 3, 4}
+
+
+def test_collocations_tiles_and_flushes(spark, monkeypatch):
+    """Crowded tiles in arrays and the rest as coordinates, in many small parts; most pairs lie in crowded tiles."""
+    for name, value in (("FLUSH", 300), ("WORDS_HELD", 20)):
+        monkeypatch.setattr(collocations, name, value)
+    rng = random.Random(2)
+    words = collocations.Words(pa.table({"lang": ["a"] * 300 + ["b"] * 200, "word": [b"w%d" % k for k in range(500)], "n": [10**6 // (k + 1) for k in range(300)] + [10**6 // (k + 1) for k in range(200)]}), None)
+    monkeypatch.setattr(collocations, "FLUSH", 1 << 22)
+    plan = collocations.Plan(words, words)
+    assert 1 < plan.slots <= collocations.TILES
+    pairs = np.array([rng.randrange(300) << collocations.WORD | rng.randrange(300) for _ in range(50_000)] + [(384 + rng.randrange(200)) << collocations.WORD | (384 + rng.randrange(200)) for _ in range(50_000)])
+    cells, rest = plan.split(pairs)
+    n = np.bincount(cells, minlength=plan.slots * collocations.CELLS)
+    again = Counter(rest.tolist())
+    for slot in range(plan.slots):
+        keys = plan.keys(slot)
+        again.update({k: c for k, c in zip(keys.tolist(), n[slot * collocations.CELLS : (slot + 1) * collocations.CELLS].tolist()) if c})
+    assert again == Counter(pairs.tolist()) and len(cells) > 0 and len(rest) > 0
+    monkeypatch.setattr(collocations, "FLUSH", 300)
+    docs = phrased(random.Random(12))
+    found = collocations.collocations(spark.createDataFrame(docs, "text string, lang string").repartition(3), least=4)
+    assert sorted(map(tuple, found.collect())) == mined(docs, 4)
+
+
+def test_collocations_of_odd_rows(spark, odd, empty):
+    rows = [(r.text, r.lang) for r in odd.select("text", "lang").collect()]
+    assert sorted(map(tuple, collocations.collocations(odd, least=2).collect())) == mined(rows, 2)
+    assert collocations.collocations(empty).collect() == [] and collocations.collocations(odd.limit(3)).collect() == []
+
+
+def test_collocation_products_do_not_overflow(spark):
+    """Counts beyond what 64 bits hold times the scale."""
+    score = spark.sql("select (cast(2000000 as decimal(18, 0)) * cast(a as decimal(19, 0))) div (cast(a as decimal(19, 0)) + cast(a as decimal(19, 0))) as s from values (9000000000000000000) as t(a)")
+    assert score.first()[0] == 1_000_000
