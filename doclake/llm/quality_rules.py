@@ -2,11 +2,13 @@
 
 Each rule votes a document good (1) or bad (-1), or abstains (0). Bad documents are held to be of several kinds, one for what each
 rule looks for, since a fault is mostly seen by one rule while the others find nothing wrong. Expectation-maximisation
-estimates, without labels, the share of good documents and of each kind, and how each rule votes on each of them, from the counts of
-vote patterns (at most 3 ** rules rows). Each document's posterior probability of being good then decides, instead of a demand
+estimates, without labels, the share of good documents and of each kind, and how often each rule that votes is against each of them, from
+the counts of vote patterns (at most 3 ** rules rows) of the documents that pass the base conditions. An abstention says nothing: it has
+no rate and no part in the likelihood. Each document's posterior probability of being good then decides, instead of a demand
 that every rule be passed: a single bad vote of a rule that is often wrong is outvoted.
 
-Null, empty or blank texts have no words: they fail the base conditions and all rules abstain. An empty table gives an empty
+Null, empty or blank texts have no words: they fail the base conditions and all rules abstain, so their posterior is the share of good
+documents. An empty table gives an empty
 table. Very long texts are measured whole, in memory of the order of the text. Nothing depends on other columns, whatever their
 names, or on row order; repeated rows count each, and ties can't arise: equal votes have equal posteriors.
 """
@@ -114,12 +116,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: Where expectation-maximisation starts: the share of good documents; how a rule votes (bad, not, good) on good ones and on bad
+#: Where expectation-maximisation starts: the share of good documents; how a rule that votes does so (bad, good) on good ones and on bad
 #: ones of another kind, and on the kind that it looks for.
-SHARE, OFF, ON = 0.8, (0.05, 0.15, 0.8), (0.7, 0.2, 0.1)
+SHARE, OFF, ON = 0.8, (0.06, 0.94), (0.875, 0.125)
 #: The starting values stay as a prior that weighs as much as so many documents, however many there are.
 PRIOR = 20
-#: Per kind its share, and per kind and rule how often it votes bad, not, good. Kind 0 is good.
+#: Per kind its share, and per kind and rule how often its votes are bad, and good. Kind 0 is good.
 Model = tuple[list[float], list[list[list[float]]]]
 
 
@@ -131,7 +133,7 @@ def start(n_rules: int) -> Model:
 
 def _kinds(votes: tuple[int, ...], logs: Model) -> list[float]:
     """The posterior of each kind; logs: the model's logarithms."""
-    odds = [s + sum(r[v + 1] for r, v in zip(own, votes)) for s, own in zip(*logs)]
+    odds = [s + sum(r[v > 0] for r, v in zip(own, votes) if v) for s, own in zip(*logs)]
     most = max(odds)
     parts = [math.exp(x - most) for x in odds]
     total = sum(parts)
@@ -156,7 +158,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
                 p *= count
                 shares[k] += p
                 for own, v in zip(rates[k], votes):
-                    own[v + 1] += p
+                    if v:
+                        own[v > 0] += p
         total = sum(shares)
         model = [s / total for s in shares], [[[x / sum(r) for x in r] for r in own] for own in rates]
     return model
@@ -173,8 +176,8 @@ def _posterior(names: list[str], model: Model) -> Column:
     for k in range(1, len(shares)):
         odds = F.lit(shares[k] - shares[0])
         for name, own, good in zip(names, rates[k], rates[0]):
-            bad, none, well = (x - y for x, y in zip(own, good))
-            odds = odds + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, well).otherwise(none)
+            bad, well = (x - y for x, y in zip(own, good))
+            odds = odds + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, well).otherwise(0.0)
         others = others + F.exp(odds)
     return 1 / others
 
@@ -185,7 +188,7 @@ def score_quality(docs: DataFrame, id_col="doc_id", text_col="text", keep_at: fl
     found = stored(measures(docs, id_col, text_col).withColumns({f"vote_{k}": v for k, v in votes.items()}), "measures")
     names = [f"vote_{k}" for k in votes]
     # At most 3 ** 8 rows.
-    patterns = {tuple(r[:-1]): r[-1] for r in found.groupBy(*names).count().collect()}
+    patterns = {tuple(r[:-1]): r[-1] for r in found.where(~base_failed()).groupBy(*names).count().collect()}
     model = estimate(patterns, rounds) if patterns else start(len(names))
     found = found.withColumn("posterior", _posterior(names, model)).withColumn("base_failed", base_failed())
     found = found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at))

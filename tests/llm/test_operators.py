@@ -441,7 +441,8 @@ def test_quality_rules(table):
     assert bag(found.select("doc_id", *quality_rules.MEASURES, "base_failed")) == want
     votes = [c for c in found.columns if c.startswith("vote_")]
     rows = found.collect()
-    model = quality_rules.estimate(dict(collections.Counter(tuple(r[v] for v in votes) for r in rows))) if rows else None
+    judged = [r for r in rows if not r.base_failed]
+    model = quality_rules.estimate(dict(collections.Counter(tuple(r[v] for v in votes) for r in judged))) if judged else quality_rules.start(len(votes))
     for r in rows:
         p = quality_rules.posterior_of(tuple(r[v] for v in votes), model)
         assert abs(p - r.posterior) < 1e-9 and r.kept == (not r.base_failed and p >= 0.5)
@@ -484,12 +485,19 @@ def test_estimation_finds_the_rates():
     shares, rates = quality_rules.estimate(patterns)
     assert abs(shares[0] - 0.8) < 0.05 and abs(rates[0][0][0] - 0.25) < 0.05
     verdict = lambda *votes: quality_rules.posterior_of(votes, (shares, rates)) > 0.5
-    assert verdict(-1, 1, 1, 1) and verdict(1, 1, 1, 1) and not verdict(-1, 0, 0, 0) and not verdict(-1, 1, 0, 0)
+    assert verdict(-1, 1, 1, 1) and verdict(1, 1, 1, 1) and not verdict(-1, -1, 1, 1) and not verdict(1, -1, 1, 1)
+    # Abstentions say nothing: a document without a vote has the share of good ones, and they move no rate.
+    assert abs(quality_rules.posterior_of((0, 0, 0, 0), (shares, rates)) - shares[0]) < 1e-9 and all(abs(sum(r) - 1) < 1e-9 for own in rates for r in own)
 
 
-def test_filter_keeps_columns(odd):
+def test_filter_keeps_columns(odd, docs):
+    """Rows that pass stay as they are; what has no word, or few, goes."""
     found = quality_rules.filter_quality(odd)
-    assert found.columns == odd.columns and 0 < found.count() < odd.count()
+    assert found.columns == odd.columns and found.where("text is null or length(text) < 50").isEmpty()
+    more = docs.selectExpr("*", "'clash' as kept", "'clash' as kept_id", "'clash' as posterior")
+    kept = quality_rules.filter_quality(more)
+    assert kept.columns == more.columns and 0 < kept.count() < more.count() and kept.exceptAll(more).isEmpty()
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules.score_quality(docs).where("kept").collect()}
 
 
 # 6
