@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,19 @@ def embed_text(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def embed_image(content: Column, dimensions: int = DIMENSIONS) -> Column:
-    """The default for images: feature hashing over the bytes' hexadecimal pairs."""
-    return embed_text(F.array_join(F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1)), " "), dimensions)
+    """The default for images: feature hashing of the bytes as embed_text would do it with their hexadecimal pairs, which are counted first."""
+    own = np.array([int(hashlib.md5(b"%02x" % k).hexdigest()[:8], 16) % dimensions for k in range(256)])
+
+    @F.pandas_udf("array<float>")
+    def embed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in series:
+            out = []
+            for data in s:
+                n = np.bincount(own, np.bincount(np.frombuffer(data, np.uint8), minlength=256), dimensions) if data else None
+                out.append(None if n is None else (n / np.sqrt((n * n).sum())).astype(np.float32))
+            yield pd.Series(out, index=s.index)
+
+    return embed(content)
 
 
 def image_url(content: Column, kind: str = "jpeg") -> Column:

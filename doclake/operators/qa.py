@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import embed, generate
-from . import elements, vectors
+from . import elements, search
 
 SYSTEM = "You answer questions from the given context. If the answer is not in the context, say so."
 ILLUSTRATED = ("image", "table")
@@ -19,7 +21,7 @@ def prompt_text(question: Column) -> Column:
 
 
 def index_status(questions: DataFrame, points: DataFrame, storable: DataFrame) -> DataFrame:
-    """questions with indexed, and status success; a file without points is indexed if it can be (is in storable), else an error."""
+    """questions with indexed, and status success; a file without points is indexed if it can be (records of it are in storable), else an error."""
     has = points.select("file_hash").distinct().withColumn("has", F.lit(True))
     can = storable.select("file_hash").distinct().withColumn("can", F.lit(True))
     out = questions.join(has, "file_hash", "left").join(can, "file_hash", "left")
@@ -27,11 +29,12 @@ def index_status(questions: DataFrame, points: DataFrame, storable: DataFrame) -
     return out.withColumn("indexed", indexed).withColumn("status", F.when(indexed, "success").otherwise("error")).drop("has", "can")
 
 
-def index_missing(questions: DataFrame, points: DataFrame, results: DataFrame, images: DataFrame, embedder: Callable[[Column], Column] = embed.embed_text) -> tuple[DataFrame, DataFrame]:
+def index_missing(questions: DataFrame, points: DataFrame, results: DataFrame, images: DataFrame, embedder: Callable[[Column], Column] = embed.embed_text, save: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(questions with status and indexed, points with those of the files that were missing).
 
     A question's file without points is looked up in results (elements of parse results, with file_hash): what is there becomes
-    records, which are embedded as points; a file that isn't there either is an error. Only asked and missing files are read on.
+    records, which are embedded as points and saved, so that the next question finds them. A file that isn't there, or gives no record, is an
+    error. Only asked and missing files are read on. save: a folder for the new points, one of its own each time (see saved_points).
     """
     asked = questions.select("file_hash").distinct()
     missing = asked.join(points.select("file_hash").distinct(), "file_hash", "left_anti")
@@ -39,18 +42,37 @@ def index_missing(questions: DataFrame, points: DataFrame, results: DataFrame, i
     columns = [c for c in points.columns if c not in ("seq", "vector", "text")]
     seq = F.when(F.col("part") == "main", 0).when(F.col("part") == "caption", 1).otherwise(2).cast("long")
     new = found.select(*columns, seq.alias("seq"), F.col("content").alias("text"), embedder(F.col("content")).alias("vector"))
-    return index_status(questions, points, results.select("file_hash").distinct()), points.unionByName(new)
+    new = shared.written(new.select(*points.columns), "indexed", f"{save}/{uuid.uuid4().hex}" if save else None)
+    return index_status(questions, points, new), points.unionByName(new)
+
+
+def saved_points(points: DataFrame, save: str) -> DataFrame:
+    """points with those that index_missing saved. A file that two runs indexed at once has its points once: ids are the same."""
+    spark = points.sparkSession
+    if not shared.exists(spark, save):
+        return points
+    own = spark.read.option("recursiveFileLookup", "true").schema(points.schema).parquet(save)
+    return points.unionByName(own.dropDuplicates(["file_hash", "element_index", "seq"]))
+
+
+#: Places of an element that a point's number has room for; numbers of a file go to blocks by ranges of so many.
+_SEQ, _CHUNK = 4, 4096
 
 
 def answers(questions: DataFrame, points: DataFrame, limit: int = 10, embedder: Callable[[Column], Column] = embed.embed_text) -> DataFrame:
     """The best points of each question's own file: question_id, question, rank, score and the points' payload.
 
-    points: file_hash, element_index, seq, vector, text, element_type and whatever payload else.
+    points: file_hash, element_index, seq (below 4), vector, text, element_type and whatever payload else. Blocks of a file's vectors meet
+    blocks of its questions; what is found, and no more, then gets its payload by an equi-join.
     """
-    asked = questions.select("question_id", "question", F.col("file_hash").alias("query_hash"), embedder(F.col("question")).alias("query")).where("query is not null")
-    rows = points.withColumn("point_key", F.struct("element_index", "seq"))
-    both = rows.join(asked, F.col("file_hash") == F.col("query_hash")).withColumn("score", vectors.score("COSINE", F.col("vector"), F.col("query"))).where("score is not null")
-    return vectors._ranked(both, limit, "COSINE", "question_id", "point_key").drop("point_key", "query", "query_hash", "vector")
+    number = F.col("element_index") * _SEQ + F.col("seq")
+    asked = questions.select(F.col("question_id").alias("query_id"), "question", "file_hash")
+    vectors_ = points.select("file_hash", number.alias("point_id"), "vector")
+    found = search.knn_per_key(vectors_, asked.select("query_id", "file_hash", embedder(F.col("question")).alias("query")), "file_hash", limit, chunk=F.floor(F.col("point_id") / _CHUNK))
+    # A vector without a length has no score.
+    own = found.where("score is not null").join(asked, "query_id").withColumn("element_index", F.floor(F.col("point_id") / _SEQ)).withColumn("seq", F.col("point_id") % _SEQ)
+    own = own.select(F.col("query_id").alias("question_id"), "question", "file_hash", "element_index", "seq", "score", "rank")
+    return own.join(points.drop("vector"), ["file_hash", "element_index", "seq"])
 
 
 def attach_images(found: DataFrame, images: DataFrame) -> DataFrame:

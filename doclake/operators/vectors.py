@@ -6,16 +6,12 @@ places before they are ranked; equal scores go by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import search
+
 DISTANCES = ("COSINE", "DOT", "EUCLID")
-PLACES = 6
 
 
 # Definition and change.
@@ -110,87 +106,25 @@ def score(distance: str, a: Column, b: Column) -> Column:
         found = dot(a, b)
     else:
         found = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.round(found, PLACES)
-
-
-def _best_first(distance: str) -> Column:
-    return F.asc_nulls_last("score") if distance == "EUCLID" else F.desc_nulls_last("score")
+    return F.round(found, search.PLACES)
 
 
 def knn(points: DataFrame, query: list[float], limit: int = 10, distance: str = "COSINE", where: Column | None = None) -> DataFrame:
     """The best `limit` points for one vector; a filter applies before the ranking."""
     found = points if where is None else points.where(where)
     vector = F.array(*(F.lit(float(x)) for x in query))
-    return found.withColumn("score", score(distance, F.col("vector"), vector)).orderBy(_best_first(distance), "point_id").limit(limit)
-
-
-def _ranked(scored: DataFrame, limit: int, distance: str, by: str = "query_id", ids: str = "point_id") -> DataFrame:
-    best = Window.partitionBy(by).orderBy(_best_first(distance), ids)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-
-
-#: Rows of a block of points, and of queries; queries that meet the points at a time, so that what is broadcast is bounded.
-BLOCK, ASKED = 2048, 1 << 16
-
-
-def _blocks(rows: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
-    """Rows packed where they are: <prefix>ids and <prefix>data hold up to BLOCK ids and vectors."""
-
-    def pack(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
-                vectors = np.array(part.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([vectors.tobytes()], pa.binary())], names=[f"{prefix}ids", f"{prefix}data"]
-                )
-
-    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(pack, f"{prefix}ids array<long>, {prefix}data binary")
-
-
-def knn_blocks(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE", asked: int = ASKED) -> DataFrame:
-    """The best points for each of many queries: blocks of vectors meet blocks of queries, one matrix product a pair.
-
-    What leaves a pair of blocks is `limit` rows a query, so the ranking sees no more than that from each block of points. Queries
-    meet the points in groups of about ASKED, each broadcast by itself (33 MB at 64 numbers a vector); a group is a read of the
-    points. All vectors have one size. query_id, point_id, score, rank.
-    """
-
-    def best(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, data, qids, qdata in zip(*(c.to_pylist() for c in batch.columns)):
-                p, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(qdata).reshape(len(qids), -1)
-                if distance == "EUCLID":
-                    # From differences, as norms would lose the digits of near points; some points at a time.
-                    step = max(1, 2_000_000 // q.size)
-                    found = np.concatenate([np.sqrt(((q[:, None] - p[None, k : k + step]) ** 2).sum(2)) for k in range(0, len(p), step)], axis=1)
-                else:
-                    found = q @ p.T
-                    if distance == "COSINE":
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            found = found / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1))
-                found = np.round(found, PLACES)
-                order = np.lexsort((np.broadcast_to(np.array(ids), found.shape), found if distance == "EUCLID" else -found), axis=1)[:, :limit]
-                rows = np.repeat(np.arange(len(qids)), order.shape[1])
-                values = found[rows, order.ravel()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(qids)[rows]), pa.array(np.array(ids)[order.ravel()]), pa.array(values, mask=np.isnan(values))], names=["query_id", "point_id", "score"]
-                )
-
-    groups = max(1, -(-queries.count() // asked))
-    parts = []
-    for group in range(groups):
-        own = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group)
-        blocks = _blocks(own, "query_id", "query", "q").withColumn("group", F.lit(group))
-        pairs = _blocks(points, "point_id", "vector", "").withColumn("group", F.lit(group)).join(F.broadcast(blocks), "group").drop("group")
-        parts.append(pairs.mapInArrow(best, "query_id long, point_id long, score double"))
-    return _ranked(reduce(DataFrame.unionByName, parts), limit, distance)
-
-
-def knn_per_file(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE", ids: str = "point_id") -> DataFrame:
-    """Each query against the points of its own file_hash only: an equi-join, then the ranking."""
-    both = points.join(queries, points["file_hash"] == queries["query_hash"]).withColumn("score", score(distance, F.col("vector"), F.col("query")))
-    return _ranked(both, limit, distance, ids=ids)
+    return found.withColumn("score", score(distance, F.col("vector"), vector)).orderBy(search.best_first(distance), "point_id").limit(limit)
+
+
+def knn_blocks(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE") -> DataFrame:
+    """The best points for each of many queries (query_id, query): query_id, point_id, score, rank. See search.py; all vectors have one size."""
+    return search.knn(points, queries, limit, distance)
+
+
+def knn_per_file(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE") -> DataFrame:
+    """Each query against the points of its own file (query_hash) only: blocks of a file's points meet blocks of its queries."""
+    asked = queries.select("query_id", "query", F.col("query_hash").alias("file_hash"))
+    return search.knn_per_key(points.select("file_hash", "point_id", "vector"), asked, "file_hash", limit, distance)
 
 
 def parse_vector(literal: Column, size: int) -> tuple[Column, Column]:

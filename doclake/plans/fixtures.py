@@ -91,13 +91,6 @@ def queries_of(points_: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Each test item asks one document."""
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", md5(F.col("text")).alias("file_hash"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), (F.col("item_id") * 13 % 200).alias("doc_id"))
-    return asked.join(docs, "doc_id")
-
-
-def all_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with a text asks its own file, with its first line."""
     docs = table(spark, sf, "documents").where("text is not null")
     return docs.select(F.col("doc_id").alias("question_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("question"), "doc_id", md5(F.col("text")).alias("file_hash"))
@@ -134,9 +127,7 @@ CTES = {
       case when doc_id % 17 = 0 then '' else coalesce(text, '') end as content from documents)""",
     "points": """points as (select case when vec_id % 2 = 0 then 'a' else 'b' end as collection, vec_id as point_id, embedding as vector,
       label::varchar as file_hash, vec_id as element_index from embeddings)""",
-    "questions": """questions as (select item_id as question_id, b.text as question, d.doc_id, md5(d.text) as file_hash
-      from benchmark b join documents d on d.doc_id = item_id * 13 % 200 where d.text is not null)""",
-    "all_questions": """questions as (select doc_id as question_id, string_split(text, chr(10))[1] as question, doc_id, md5(text) as file_hash
+    "questions": """questions as (select doc_id as question_id, string_split(text, chr(10))[1] as question, doc_id, md5(text) as file_hash
       from documents where text is not null)""",
     "records": """records as (
       select doc_id, file_hash, element_index, 'main' as part, 0 as seq,

@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Questions answered from their documents, end to end."""
-    return _set_up(retrieval.ask_benchmark)(spark, sf_dir)
+    return _set_up(retrieval.QUERIES["ask_document"])(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import embed, generate
 from ..operators import elements, graph, qa, vectors
 from . import fixtures as fx
@@ -43,10 +44,17 @@ def _(spark, sf):
     return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 4).alias("weight"))
 
 
-@query("embed_image")
+@query(
+    "embed_image",
+    """select doc_id, bucket, round((n / sqrt(sum(n * n) over (partition by doc_id)))::float::double, 4) as weight from (
+      select doc_id, bucket, count(*)::double as n from (select doc_id, ('0x' || substring(md5(pair), 1, 8))::bigint % 64 as bucket
+        from (select doc_id, unnest(regexp_extract_all(lower(hex(encode(text))), '..')) as pair from documents)) group by all)""",
+)
 def _(spark, sf):
-    content = F.col("text").cast("binary")
-    return table(spark, sf, "benchmark").select("item_id", embed.embed_image(content).alias("vector"), F.length(embed.image_url(content)).alias("url_length"))
+    """The bytes of every document stand for its picture."""
+    embedded = table(spark, sf, "documents").select("doc_id", embed.embed_image(F.col("text").cast("binary")).alias("vector"))
+    rows = embedded.select("doc_id", F.posexplode("vector").alias("bucket", "w")).where("w <> 0")
+    return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 4).alias("weight"))
 
 
 @query(
@@ -259,25 +267,19 @@ def _whole_literal(spark, sf):
     return ",".join(repr(float(x)) for x in asked)
 
 
-@query(
-    "vector_search_whole_literal",
-    with_("points") + f"""select point_id, round({_SCORES['DOT']}, 6) as score, file_hash from (select p.* from points p) p join (select * from points where point_id = 20) q on true
-      order by score desc, point_id limit 5""".replace("select point_id, round", "select p.point_id, round").replace("score, file_hash", "score, p.file_hash").replace("score desc, point_id", "score desc, p.point_id"),
-)
-def _(spark, sf):
+_LITERAL_SQL = with_("points") + f"""select p.point_id, round({_SCORES['DOT']}, 6) as score, p.file_hash from points p join (select * from points where point_id = 20) q on true
+  order by score desc, p.point_id limit 5"""
+
+
+def _literal_search(spark, sf):
+    """The literal of one stored vector, all of its numbers, against all points."""
     vector, _ = vectors.parse_vector(F.lit(_whole_literal(spark, sf)), 64)
     found = fx.points(spark, sf).withColumn("score", vectors.score("DOT", F.col("vector"), vector))
     return found.orderBy(F.desc("score"), "point_id").limit(5).select("point_id", "score", "file_hash")
 
 
-@query(
-    "vector_search_literal",
-    with_("points") + """select point_id, round(v[1] * 0.5 + v[2] * -0.25 + v[3] * 1.0 + v[4] * 0.125, 6) as score, file_hash from (select point_id, file_hash, vector::double[] as v from points) order by score desc, point_id limit 5""",
-)
-def _(spark, sf):
-    vector, _ = vectors.parse_vector(F.lit("0.5,-0.25,1,0.125"), 4)
-    four = fx.points(spark, sf).withColumn("vector", F.slice("vector", 1, 4)).withColumn("score", vectors.score("DOT", F.col("vector"), vector))
-    return four.orderBy(F.desc("score"), "point_id").limit(5).select("point_id", "score", "file_hash")
+query("vector_search_literal", _LITERAL_SQL)(_literal_search)
+query("vector_search_whole_literal", _LITERAL_SQL)(_literal_search)
 
 
 @query("is_indexed", with_("points", "lines") + "select distinct file_hash, file_hash in (select file_hash from points) as indexed from (select (doc_id % 20)::varchar as file_hash from lines union all select file_hash from lines)")
@@ -409,11 +411,15 @@ def _(spark, sf):
 
 # Questions.
 
-_ANSWERS = f"""point_buckets as ({_buckets("(select doc_id, element_index, seq, content as text from kept where doc_id in (select doc_id from questions))", "doc_id, element_index, seq")}),
+_ANSWERS = f"""point_buckets as ({_buckets("(select doc_id, element_index, seq, content as text from kept)", "doc_id, element_index, seq")}),
 question_buckets as ({_buckets("(select question_id, doc_id, question as text from questions)", "question_id, doc_id")}),
 tokened as (select distinct doc_id, element_index, seq from point_buckets), asked as (select distinct question_id, doc_id from question_buckets),
-scores as (select a.question_id, t.doc_id, t.element_index, t.seq, round(coalesce(s, 0), 6) as score from asked a join tokened t using (doc_id)
-  left join (select question_id, doc_id, element_index, seq, sum(p.weight::float::double * q.weight::float::double) as s from point_buckets p join question_buckets q using (doc_id, bucket) group by all) using (question_id, doc_id, element_index, seq)),
+point_norms as (select doc_id, element_index, seq, sqrt(sum(weight::float::double * weight::float::double)) as pn from point_buckets group by all),
+question_norms as (select question_id, sqrt(sum(weight::float::double * weight::float::double)) as qn from question_buckets group by all),
+scores as (select a.question_id, t.doc_id, t.element_index, t.seq, round(coalesce(s, 0) / (pn * qn), 6) as score from asked a join tokened t using (doc_id)
+  join point_norms using (doc_id, element_index, seq) join question_norms n on n.question_id = a.question_id
+  left join (select question_id, doc_id, element_index, seq, sum(p.weight::float::double * q.weight::float::double) as s from point_buckets p join question_buckets q using (doc_id, bucket) group by all) x
+    on x.question_id = a.question_id and x.doc_id = t.doc_id and x.element_index = t.element_index and x.seq = t.seq),
 found as (select s.*, k.element_type, k.content, k.img_path, k.page_idx, row_number() over (partition by question_id order by score desc, s.element_index, s.seq) as rank
   from scores s join kept k using (doc_id, element_index, seq)),
 answers as (select * from found where rank <= 5)"""
@@ -425,15 +431,8 @@ def _points(rows):
 
 
 def _answers(spark, sf):
-    """Answers from the asked documents alone; a question is about one document, not about its copies."""
+    """Every document is embedded, and asked for its own first line; a question is about one document, not about its copies."""
     asked = fx.questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
-    points = _points(_records(spark, sf).join(asked.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return asked, points, qa.answers(asked, points, 5)
-
-
-def _all_answers(spark, sf):
-    """Every document is embedded, and asked for its own first line."""
-    asked = fx.all_questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
     points = _points(_records(spark, sf))
     return asked, points, qa.answers(asked, points, 5)
 
@@ -442,41 +441,37 @@ def _images(spark, sf):
     return fx.images(spark, sf).withColumn("content", F.col("img_path").cast("binary"))
 
 
-def _index_missing(spark, sf, questions):
-    asked = questions.withColumn("file_hash", (F.col("doc_id") % 10).cast("string"))
-    labels = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("file_hash"))
-    return qa.index_status(asked, labels.where("file_hash < '5'"), labels.where("file_hash >= '5' and file_hash < '8'")).select("question_id", "status", "indexed")
-
-
-@query(
-    "ask_index_missing",
-    with_("questions", "points") + """select question_id, case when q.doc_id % 10 < 8 then 'success' else 'error' end as status, q.doc_id % 10 < 8 as indexed from questions q""",
-)
-def _(spark, sf):
-    return _index_missing(spark, sf, fx.questions(spark, sf))
+_INDEXED_SQL = """select question_id, case when indexed then 'success' else 'error' end as status, indexed, case when indexed then n else 0 end::bigint as n_points
+  from (select question_id, doc_id % 3 < 2 and coalesce(n, 0) > 0 as indexed, n from questions left join (select doc_id, count(*) as n from kept group by doc_id) using (doc_id))"""
 
 
-@query(
-    "ask_indexes_missing",
-    with_("all_questions", "records")
-    + """select question_id, case when doc_id % 3 < 2 then 'success' else 'error' end as status, doc_id % 3 < 2 as indexed, case when doc_id % 3 < 2 then coalesce(n, 0) else 0 end::bigint as n_points
-      from questions left join (select doc_id, count(*) as n from kept group by doc_id) using (doc_id)""",
-)
-def _(spark, sf):
-    """A third of the files has points, a third has parse results only, and is indexed when it is asked, a third has nothing."""
-    asked = fx.all_questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
+def _index_missing(spark, sf):
+    """A third of the files has points, a third has parse results only, and is indexed and saved when it is asked, a third has nothing."""
+    asked = fx.questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
     there = fx.elements(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
-    records = elements.explode_records(there.where("doc_id % 3 = 0"), fx.images(spark, sf))
-    status, points = qa.index_missing(asked, _points(records), there.where("doc_id % 3 = 1"), fx.images(spark, sf))
-    counted = points.groupBy("file_hash").agg(F.count("*").alias("n_points"))
+    points, save = _points(elements.explode_records(there.where("doc_id % 3 = 0"), fx.images(spark, sf))), shared.folder(spark, "points")
+    status, _ = qa.index_missing(asked, points, there.where("doc_id % 3 = 1"), fx.images(spark, sf), save=save)
+    counted = qa.saved_points(points, save).groupBy("file_hash").agg(F.count("*").alias("n_points"))
     return status.join(counted, "file_hash", "left").select("question_id", "status", "indexed", F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
-_FOUND_SQL = "select question_id, element_index, element_type, content as text, round(score, 4) as score, rank, page_idx from answers"
+query("ask_indexes_missing", with_("questions", "records") + _INDEXED_SQL)(_index_missing)
+
+
+def _index_flags(spark, sf):
+    return _index_missing(spark, sf).drop("n_points")
+
+
+_FLAGS_SQL = with_("questions", "records") + f"select question_id, status, indexed from ({_INDEXED_SQL})"
+query("ask_index_missing", _FLAGS_SQL)(_index_flags)
+query("ask_all_index_missing", _FLAGS_SQL)(_index_flags)
+
+
+_FOUND_SQL = "select question_id, element_index, element_type, content as text, score, rank, page_idx from answers"
 
 
 def _found(found):
-    return found.select("question_id", "element_index", "element_type", "text", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), "page_idx")
+    return found.select("question_id", "element_index", "element_type", "text", "score", F.col("rank").cast("long").alias("rank"), "page_idx")
 
 
 @query("ask_answers", with_("questions", "records", then=_ANSWERS) + _FOUND_SQL)
@@ -526,55 +521,26 @@ def _(spark, sf):
     return _prompts(spark, sf, _answers(spark, sf)[2])
 
 
-@query("llm_answer", with_("all_questions", "records", then=_ANSWERS) + f"select question_id, string_split(context, chr(10))[1] as answer, null::varchar as error from ({_CONTEXT_SQL})")
+@query("llm_answer", with_("questions", "records", then=_ANSWERS) + f"select question_id, string_split(context, chr(10))[1] as answer, null::varchar as error from ({_CONTEXT_SQL})")
 def _(spark, sf):
-    found = qa.attach_images(_all_answers(spark, sf)[2], _images(spark, sf))
+    found = qa.attach_images(_answers(spark, sf)[2], _images(spark, sf))
     return generate.llm_answer(qa.prompts(found), "question_id")
 
 
 @query(
     "ask_document",
-    with_("all_questions", "records", then=_ANSWERS)
+    with_("questions", "records", then=_ANSWERS)
     + f"""select question_id, question, context, coalesce(n_answers, 0) as n_answers, string_split(context, chr(10))[1] as answer, null::varchar as error
       from questions left join ({_CONTEXT_SQL}) using (question_id)""",
 )
 def _(spark, sf):
-    asked, points, _ = _all_answers(spark, sf)
-    return qa.ask(asked, points, _images(spark, sf), 5)
-
-
-def ask_benchmark(spark, sf):
-    """Each benchmark item asks one of the first 200 documents, which are all of the smallest table."""
     asked, points, _ = _answers(spark, sf)
     return qa.ask(asked, points, _images(spark, sf), 5)
 
 
-# The SQL of the questions above asks the first 200 documents; these ask every document, by the same operators.
-
-
-@query(
-    "ask_all_index_missing",
-    with_("all_questions", "points") + """select question_id, case when q.doc_id % 10 < 8 then 'success' else 'error' end as status, q.doc_id % 10 < 8 as indexed from questions q""",
-)
-def _(spark, sf):
-    return _index_missing(spark, sf, fx.all_questions(spark, sf))
-
-
-@query("ask_all_answers", with_("all_questions", "records", then=_ANSWERS) + _FOUND_SQL)
-def _(spark, sf):
-    return _found(_all_answers(spark, sf)[2])
-
-
-@query("attach_all_images", with_("all_questions", "records", then=_ANSWERS) + _PICTURES_SQL)
-def _(spark, sf):
-    return _pictures(spark, sf, _all_answers(spark, sf)[2])
-
-
-@query("build_all_contexts", with_("all_questions", "records", then=_ANSWERS) + _CONTEXT_SQL)
-def _(spark, sf):
-    return _contexts(_all_answers(spark, sf)[2])
-
+# The names under which these were registered while the others asked a part of the documents.
 
-@query("build_all_prompts", with_("all_questions", "records", then=_ANSWERS) + _PROMPT_SQL)
-def _(spark, sf):
-    return _prompts(spark, sf, _all_answers(spark, sf)[2])
+query("ask_all_answers", SQL["ask_answers"])(QUERIES["ask_answers"])
+query("attach_all_images", SQL["attach_images"])(QUERIES["attach_images"])
+query("build_all_contexts", SQL["build_context"])(QUERIES["build_context"])
+query("build_all_prompts", SQL["build_prompt"])(QUERIES["build_prompt"])

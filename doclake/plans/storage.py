@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import elements, graph
 from ..sources import sinks
 from ..streaming import ingest as stream
@@ -23,17 +21,7 @@ SQL = {
     "write_records": with_("records") + "select file_hash, element_index, part, element_type, content, 'embeddings/' || file_hash || '/element_' || element_index || case part when 'main' then '' else '_' || part end || '.json' as key from kept",
 }
 
-_own: str | None = None
-
-
-def folder(spark) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one if the session names none."""
-    global _own
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        _own = _own or "file://" + tempfile.mkdtemp(prefix="doclake-")
-        root = _own
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+folder = shared.folder
 
 
 def _query(name):

@@ -220,19 +220,6 @@ def test_parents_with_tolerance(spark):
     assert [r.src for r in graph.parent_edges_by_key(few).orderBy("dst").collect()] == [-1, 0, 0, 0]
 
 
-def test_search_in_groups_of_queries(spark):
-    import numpy as np
-
-    from doclake.operators import vectors
-
-    rng = np.random.default_rng(3)
-    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "point_id long, vector array<double>")
-    queries = points.where("point_id < 50").selectExpr("point_id as query_id", "vector as query")
-    for distance in ("COSINE", "DOT", "EUCLID"):
-        one = sorted(map(tuple, vectors.knn_blocks(points, queries, 5, distance).collect()))
-        assert one == sorted(map(tuple, vectors.knn_blocks(points, queries, 5, distance, asked=13).collect())) and len(one) == 250
-
-
 def test_near_points_keep_their_distance(spark):
     from doclake.operators import vectors
 
