@@ -55,8 +55,8 @@ def scores(p: np.ndarray, q: np.ndarray, distance: str) -> np.ndarray:
     return np.round(found, PLACES)
 
 
-def blocks(rows: DataFrame, key: str, ids: str, vector: str, prefix: str = "", chunk: Column | None = None) -> DataFrame:
-    """<key>, <prefix>ids and <prefix>data: rows of one key packed by up to BLOCK. Null vectors are left out.
+def blocks(rows: DataFrame, key: str, ids: str, vector: str, prefix: str = "", chunk: Column | None = None, path: str | None = None) -> DataFrame:
+    """<key>, <prefix>ids and <prefix>data: rows of one key packed by up to BLOCK, written once. Null vectors are left out.
 
     Rows are dealt by range of key and id, which splits a key of very many rows; or by key and chunk, where chunk is given and numbers
     parts of a key that are of about a block.
@@ -97,11 +97,12 @@ def blocks(rows: DataFrame, key: str, ids: str, vector: str, prefix: str = "", c
         if held:
             yield out()
 
-    return dealt.mapInArrow(pack, f"{key} {kind.simpleString()}, {prefix}ids array<long>, {prefix}data binary")
+    return shared.written(dealt.mapInArrow(pack, f"{key} {kind.simpleString()}, {prefix}ids array<long>, {prefix}data binary"), "blocks", path)
 
 
-def meet(points: DataFrame, queries: DataFrame, key: str, limit: int, distance: str, together: int = TOGETHER) -> DataFrame:
-    """query_id, point_id, score: the best points for each query in each pair of blocks of one key (columns ids, data and qids, qdata)."""
+def pairs(points: DataFrame, queries: DataFrame, key: str, together: int = TOGETHER) -> DataFrame:
+    """Each block of points (ids, data) beside each block of queries (qids, qdata) of its key. A key's blocks are dealt into groups of about
+    `together` on both sides, p_ and q_, and groups meet: an equi-join without a key of more than some together ** 2 pairs."""
     groups = lambda n: F.ceil(F.col(n) / together).cast("int")
     sizes = points.groupBy(key).agg(F.count("*").alias("n_")).join(queries.groupBy(key).agg(F.count("*").alias("m_")), key)
     sizes = sizes.select(key, groups("n_").alias("of_points"), groups("m_").alias("of_queries"))
@@ -109,7 +110,11 @@ def meet(points: DataFrame, queries: DataFrame, key: str, limit: int, distance:
     part = lambda ids, n: F.pmod(F.xxhash64(F.get(ids, F.lit(0))), F.col(n)).cast("int")
     left = points.join(sizes, key).withColumn("p_", part("ids", "of_points")).withColumn("q_", every("of_queries"))
     right = queries.join(sizes, key).withColumn("q_", part("qids", "of_queries")).withColumn("p_", every("of_points"))
-    pairs = left.select(key, "p_", "q_", "ids", "data").join(right.select(key, "p_", "q_", "qids", "qdata"), [key, "p_", "q_"])
+    return left.select(key, "p_", "q_", "ids", "data").join(right.select(key, "p_", "q_", "qids", "qdata"), [key, "p_", "q_"])
+
+
+def meet(points: DataFrame, queries: DataFrame, key: str, limit: int, distance: str) -> DataFrame:
+    """query_id, point_id, score: the best points for each query in each pair of blocks of one key."""
 
     def best(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +126,7 @@ def meet(points: DataFrame, queries: DataFrame, key: str, limit: int, distance:
                 values = found[rows, order.ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(qids)[rows]), pa.array(np.array(ids)[order.ravel()]), pa.array(values, mask=np.isnan(values))], names=["query_id", "point_id", "score"])
 
-    return pairs.select("ids", "data", "qids", "qdata").mapInArrow(best, "query_id long, point_id long, score double")
+    return pairs(points, queries, key).select("ids", "data", "qids", "qdata").mapInArrow(best, "query_id long, point_id long, score double")
 
 
 def knn_per_key(points: DataFrame, queries: DataFrame, key: str, limit: int = 10, distance: str = "COSINE", chunk: Column | None = None) -> DataFrame:
@@ -236,7 +241,7 @@ def build(points: DataFrame, distance: str = "COSINE", cells: int | None = None,
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(1), pa.array(far)], names=["cell", "point_id", "vector", "far"])
 
     assigned = shared.written(points.mapInArrow(assign, "cell long, point_id long, vector array<double>, far double"), "assigned")
-    blocks(assigned, "cell", "point_id", "vector").write.parquet(f"{folder}/blocks")
+    blocks(assigned, "cell", "point_id", "vector", path=f"{folder}/blocks")
     far = assigned.groupBy("cell").agg(F.max("far").alias("radius"))
     rows = [(int(k), c.tolist()) for k, c in enumerate(centroids)]
     spark.createDataFrame(rows, "cell long, centroid array<double>").join(far, "cell", "left").select("cell", "centroid", F.coalesce("radius", F.lit(-1.0)).alias("radius"), F.lit(distance).alias("distance"), F.lit(norm).alias("norm")).write.parquet(f"{folder}/cells")
@@ -308,6 +313,8 @@ def _promising(probes: int, distance: str, norm: float):
 def search(index: Index, queries: DataFrame, limit: int = 10, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """query_id, point_id, score, rank for queries (query_id, query): from the nearest `probes` cells, and, for the exact result, from all
     further cells that may change it."""
+    if not len(index.centroids):
+        return queries.sparkSession.createDataFrame([], "query_id long, point_id long, score double, rank int")
     ask = lambda asked: meet(index.blocks, blocks(asked, "cell", "query_id", "query", "q"), "cell", limit, index.distance)
     found = ask(_probing(queries, index, _nearest(probes), []))
     if exact and probes < len(index.centroids):
@@ -320,6 +327,26 @@ def search(index: Index, queries: DataFrame, limit: int = 10, probes: int = PROB
     return ranked(found, limit, index.distance)
 
 
+#: Queries of the sample that tunes, and the share of the true neighbours that it is tuned for.
+TUNED_BY, RECALL = 256, 0.95
+
+
+def probes_for(index: Index, points: DataFrame, limit: int = 10, recall: float = RECALL, queries: int = TUNED_BY) -> int:
+    """Cells to probe so that `recall` of the exact neighbours are found, measured on so many points (by hash of the id) as queries."""
+    own = points.where("vector is not null").select(F.col("point_id").cast("long").alias("point_id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = shared.written(own.orderBy(F.xxhash64("point_id", F.lit(11)), "point_id").limit(queries).select(F.col("point_id").alias("query_id"), F.col("vector").alias("query")), "asked")
+    found = search(index, asked, limit, exact=True).where("score is not null").select("query_id", "point_id")
+    # At most queries * limit rows.
+    table = found.join(own, "point_id").join(asked, "query_id").select("vector", "query").toArrow()
+    if not table.num_rows:
+        return 1
+    vectors, q = (_matrix(table[c].combine_chunks()) for c in ("vector", "query"))
+    home = _distances(placed(vectors, index.distance, index.norm), index.centroids).argmin(1)
+    d = np.where(index.radii >= 0, _distances(placed(q, index.distance, index.norm, query=True), index.centroids), np.inf)
+    place = (d < d[np.arange(len(d)), home][:, None]).sum(1)
+    return int(np.quantile(place, recall, method="higher")) + 1
+
+
 def knn(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "COSINE") -> DataFrame:
     """The exact best points for each of many queries: query_id, point_id, score, rank. Points for a cell or two need no index: they are
     blocks of one key."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import embed, generate
-from ..operators import elements, graph, qa, vectors
+from ..operators import elements, graph, qa, search, vectors
 from . import fixtures as fx
 from .fixtures import table, with_
 
@@ -207,6 +209,27 @@ def _(spark, sf):
     return found.select("query_id", "point_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _inverted(spark, sf):
+    """An inverted file of about as many cells as a cell has points."""
+    points = fx.points(spark, sf)
+    return points, search.build(points, cells=max(1, math.isqrt(points.count())))
+
+
+@query("knn_inverted")
+def _(spark, sf):
+    """Approximate: as many cells are probed as a sample of queries needs for a recall of 0.95."""
+    points, index = _inverted(spark, sf)
+    found = search.search(index, fx.queries_of(points), 10, probes=search.probes_for(index, points, 10))
+    return found.select("query_id", "point_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("knn_inverted_exact", _knn_sql())
+def _(spark, sf):
+    """Exact: after two cells, all those whose radius leaves room for a better point."""
+    points, index = _inverted(spark, sf)
+    return search.search(index, fx.queries_of(points), 10, probes=2, exact=True).select("query_id", "point_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # One vector, that of the point 20, asks all points: the best are taken where they are.
 
 
