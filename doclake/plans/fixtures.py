@@ -68,6 +68,14 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("path"), F.col("n_chars").alias("length"))
 
 
+def stored_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of 64 documents each, in 16 folders: number, path, content."""
+    docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 64).alias("number"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    path = F.concat(F.lit("pdfs/"), F.lower(F.hex(F.col("number") % 16)), F.lit("/"), F.col("number").cast("string"), F.lit(".txt"))
+    return docs.groupBy("number").agg(F.array_join(texts, "\n").alias("content")).select("number", path.alias("path"), "content")
+
+
 def uploads(spark: SparkSession, sf: str) -> DataFrame:
     docs, d = table(spark, sf, "documents"), F.col("doc_id")
     name = lambda a, b: F.concat(F.lit(a), d, F.lit(b))
@@ -121,6 +129,8 @@ CTES = {
       union all select doc_id, n_chars, 'pdfs/' || md5(text) || '_d' || doc_id || '.pdf' from documents where text is not null and doc_id % 7 = 0
       union all select doc_id, n_chars, 'pdfs/' || md5(text) from documents where text is not null and doc_id % 50 = 0
       union all select doc_id, n_chars, 'results/' || md5(text) || '_d ' || doc_id || '.pdf/result.json' from documents where text is not null and doc_id % 3 <> 0))""",
+    "stored_files": """stored_files as (select number, 'pdfs/' || substring('0123456789abcdef', number % 16 + 1, 1) || '/' || number || '.txt' as path, content from (
+      select doc_id // 64 as number, string_agg(coalesce(text, ''), chr(10) order by doc_id, coalesce(text, '')) as content from documents group by doc_id // 64))""",
     "uploads": """uploads as (select doc_id as arrival,
       case when doc_id % 13 = 0 then 'a/d' || doc_id || '.pdf' when doc_id % 11 = 0 then 'd' || doc_id || '.txt'
            when doc_id % 5 = 0 then 'd' || doc_id || '.PDF' else 'd' || doc_id || '.pdf' end as filename,

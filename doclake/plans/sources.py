@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import catalog, ingest
-from ..sources import html, objects, sinks
+from ..sources import html, objects, sinks, store
 from . import fixtures as fx
 from .fixtures import table, with_
 
@@ -22,9 +23,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("list_objects_prefix", with_("objects") + "select path, length from objects where starts_with(path, 'pdfs/0')")
+def _put(spark, sf):
+    """The files, put into a new store; its root."""
+    root = shared.folder(spark, "objects")
+    store.put(fx.stored_files(spark, sf), root)
+    return root
+
+
+@query("list_objects_prefix", with_("stored_files") + "select path, strlen(content)::bigint as length from stored_files where starts_with(path, 'pdfs/0')")
 def _(spark, sf):
-    return objects.with_prefix(fx.objects(spark, sf), "pdfs/0").select("path", "length")
+    """Only the folder that begins with the prefix is listed."""
+    return objects.with_prefix(store.listing(spark, _put(spark, sf)), "pdfs/0").select("path", "length")
 
 
 @query("object_stat", with_("objects") + "select path, split_part(path, '/', -1) as file_name, length from objects")
@@ -38,12 +47,13 @@ def _(spark, sf):
     return objects.exists(wanted, fx.objects(spark, sf))
 
 
-@query("read_objects")
+@query("read_objects", with_("stored_files") + "select path, split_part(path, '/', -1) as file_name, strlen(content)::bigint as length, md5(content) as file_hash from stored_files where number % 3 = 0")
 def _(spark, sf):
-    root = f"{sf}/documents.parquet"
-    wanted = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").endswith(".parquet")).select("path")
-    found = objects.stat(objects.contents(spark, root, wanted))
-    return found.select("file_name", "length", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("file_hash"))
+    """A third of the keys are wanted, and some that aren't there; nothing is listed."""
+    wanted = fx.stored_files(spark, sf).where("number % 3 = 0").select("path")
+    nowhere = table(spark, sf, "documents").select(F.concat(F.lit("pdfs/none/"), F.col("doc_id").cast("string")).alias("path"))
+    found = objects.stat(store.contents(wanted.unionByName(nowhere), _put(spark, sf)))
+    return found.select("path", "file_name", "length", F.md5("content").alias("file_hash"))
 
 
 def _results(spark, sf):

@@ -1,8 +1,8 @@
-"""Objects (files) as tables: listing, contents, parse results, images."""
+"""Objects (files) as tables: prefixes, parse results, images. store.py lists and reads them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog
@@ -12,22 +12,10 @@ IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp")
 ACCEPTED = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), modificationTime and length of every file; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
-    base = F.lit(root.rstrip("/").split("://")[-1] + "/")
-    return rows.withColumn("path", F.element_at(F.split(F.col("path"), base, 2), -1))
-
-
 def with_prefix(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.where(F.col("path").startswith(prefix))
 
 
-def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """The files whose full path is in wanted.path, with content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).join(wanted.select("path").distinct(), "path", "left_semi")
-
-
 def stat(objects: DataFrame) -> DataFrame:
     return objects.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
 

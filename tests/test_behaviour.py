@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions import embed, generate
 from doclake.operators import catalog, elements, graph, ingest, overlay, qa, vectors
-from doclake.sources import html, objects
+from doclake.sources import html, objects, store
 from doclake.streaming import ingest as stream
 
 
@@ -194,7 +194,7 @@ def test_files_arrive(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_bytes(b"two")
     stream.run(stream.arrivals(spark, f"{tmp_path}/in"), f"{tmp_path}/files", f"{tmp_path}/state").awaitTermination()
     assert one(spark.read.parquet(f"{tmp_path}/files").select("filename", "size")) == [("a.pdf", 3)]
-    assert [r.path for r in objects.listing(spark, f"{tmp_path}/in").orderBy("path").collect()] == ["a.pdf", "b.txt"]
+    assert [r.path for r in store.listing(spark, f"{tmp_path}/in").orderBy("path").collect()] == ["a.pdf", "b.txt"]
 
 
 def test_parents_with_tolerance(spark):
