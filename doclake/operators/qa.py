@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import embed, generate
+from ..sources import objects, store
 from . import elements, search
 
 SYSTEM = "You answer questions from the given context. If the answer is not in the context, say so."
@@ -46,6 +47,16 @@ def index_missing(questions: DataFrame, points: DataFrame, results: DataFrame, i
     return index_status(questions, points, new), points.unionByName(new)
 
 
+def index_from_store(questions: DataFrame, points: DataFrame, root: str, images: DataFrame, embedder: Callable[[Column], Column] = embed.embed_text, save: str | None = None, folder: str = "results") -> tuple[DataFrame, DataFrame]:
+    """index_missing, whose parse results come from an object store: of each missing file the result's key is looked up in the listing below
+    `folder`, its JSON read and taken apart into elements. Results of files that have points, or aren't asked for, are not read."""
+    missing = questions.select("file_hash").distinct().join(points.select("file_hash").distinct(), "file_hash", "left_anti")
+    there = objects.with_prefix(store.listing(questions.sparkSession, root), f"{folder}/")
+    keys = objects.result_of_hash(there, missing, folder)
+    read = store.contents(keys, root).join(keys, "path").select("file_hash", F.col("content").cast("string").alias("value"))
+    return index_missing(questions, points, elements.explode_elements(objects.parse_results(read)), images, embedder, save)
+
+
 def saved_points(points: DataFrame, save: str) -> DataFrame:
     """points with those that index_missing saved. A file that two runs indexed at once has its points once: ids are the same."""
     spark = points.sparkSession

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..functions import embed, generate
+from ..functions import cache, embed, generate
 from ..operators import elements, graph, qa, search, vectors
+from ..sources import objects, store
 from . import fixtures as fx
 from .fixtures import table, with_
 
@@ -46,6 +47,16 @@ def _(spark, sf):
     return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 4).alias("weight"))
 
 
+@query("embed_cached", f"select doc_id, bucket, round(weight::float::double, 4) as weight from ({_buckets('documents', 'doc_id')})")
+def _(spark, sf):
+    """A client embeds half of the documents' texts; the second run asks it for those alone that are new."""
+    docs, folder = table(spark, sf, "documents").select("doc_id", "text"), shared.folder(spark, "vectors")
+    cache.fill(docs.where("doc_id % 2 = 0"), "text", cache.hashing_client(), folder)
+    embedded = cache.embed(docs, "text", cache.hashing_client(), folder)
+    rows = embedded.select("doc_id", F.posexplode("vector").alias("bucket", "w")).where("w <> 0")
+    return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 4).alias("weight"))
+
+
 @query(
     "embed_image",
     """select doc_id, bucket, round((n / sqrt(sum(n * n) over (partition by doc_id)))::float::double, 4) as weight from (
@@ -481,6 +492,30 @@ def _index_missing(spark, sf):
 query("ask_indexes_missing", with_("questions", "records") + _INDEXED_SQL)(_index_missing)
 
 
+@query(
+    "ask_from_store",
+    with_("stored_files")
+    + """select number as question_id, md5(content) as file_hash, case when n > 0 then 'success' else 'error' end as status, n > 0 as indexed, n as n_points
+      from (select number, content, case when number % 3 > 0 then len(list_filter(string_split(content, chr(10)), lambda x: x <> '')) else 0 end::bigint as n from stored_files)""",
+)
+def _(spark, sf):
+    """Every file is asked. A third has nothing, a third has points; the parse results of a third are objects, and are indexed and saved."""
+    lists = F.to_json(F.transform(F.split("content", "\n"), lambda x, i: F.struct(F.lit("text").alias("type"), x.alias("text"), i.alias("page_idx"))))
+    value = F.concat(F.lit('{"results": {"result": {"results": {"content_list": '), lists, F.lit("}}}}"))
+    files = fx.stored_files(spark, sf).select("number", fx.md5(F.col("content")).alias("file_hash"), F.get(F.split("content", "\n"), F.lit(0)).alias("question"), value.alias("value"))
+    files = shared.written(files, "files")
+    root, save = shared.folder(spark, "objects"), shared.folder(spark, "points")
+    path = F.concat(F.lit("results/"), "file_hash", F.lit("_"), F.col("number").cast("string"), F.lit(".txt/result.json"))
+    store.put(files.where("number % 3 = 2").select(path.alias("path"), F.col("value").cast("binary").alias("content")), root)
+    none = fx.images(spark, sf).limit(0)
+    known = elements.explode_elements(objects.parse_results(files.where("number % 3 = 1").select("file_hash", "value")))
+    points = _points(elements.explode_records(known, none).withColumn("doc_id", F.col("file_hash")))
+    asked = files.select(F.col("number").alias("question_id"), "question", "file_hash")
+    status, _ = qa.index_from_store(asked, points, root, none, save=save)
+    counted = qa.saved_points(points, save).groupBy("file_hash").agg(F.count("*").alias("n_points"))
+    return status.join(counted, "file_hash", "left").select("question_id", "file_hash", "status", "indexed", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+
+
 def _index_flags(spark, sf):
     return _index_missing(spark, sf).drop("n_points")
 

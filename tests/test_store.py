@@ -68,3 +68,31 @@ def test_put_again(spark, root, tmp_path):
     (tmp_path / "a" / ".half.123").write_bytes(b"not whole")
     assert sorted((r.path, r.length) for r in store.listing(spark, str(tmp_path)).collect()) == [("a/b", 3), ("a/c", 3)]
     assert store.put(rows.limit(0), str(tmp_path)) == 0
+
+
+def test_files_are_indexed_from_the_store_once(spark, tmp_path):
+    """Results are read for missing files alone, and what is indexed is there when the store isn't."""
+    import json
+
+    from doclake.functions import embed
+    from doclake.operators import elements, qa
+
+    def result(texts):
+        return json.dumps({"results": {"result": {"results": {"content_list": [{"type": "text", "text": t} for t in texts]}}}}).encode()
+
+    root, save = f"{tmp_path}/store", f"{tmp_path}/saved"
+    put = [("results/h1_a.pdf/result.json", result(["one", "two"])), ("results/h2_b.pdf/result.json", b"{broken"), ("results/h3_c.pdf/result.json", result([""])), ("results/h4_d.pdf/result.json", result(["not asked"]))]
+    store.put(spark.createDataFrame(put, "path string, content binary"), root)
+    images = spark.createDataFrame([], "img_path string")
+    none = elements.explode_elements(objects.parse_results(spark.createDataFrame([], "file_hash string, value string")))
+    from pyspark.sql import functions as F
+
+    records = elements.explode_records(none, images)
+    points = records.select("file_hash", "element_index", F.lit(0).cast("long").alias("seq"), F.col("content").alias("text"), "element_type", embed.embed_text(F.col("content")).alias("vector"))
+    asked = spark.createDataFrame([(k, "two", f"h{k}") for k in (1, 2, 3, 9)], "question_id long, question string, file_hash string")
+    status, found = qa.index_from_store(asked, points, root, images, save=save)
+    assert {r.question_id: r.status for r in status.collect()} == {1: "success", 2: "error", 3: "error", 9: "error"}
+    assert [(r.text, r.file_hash) for r in qa.answers(asked, found, 1).collect()] == [("Text: two", "h1")]
+    saved = qa.saved_points(points, save)
+    again, _ = qa.index_from_store(asked.where("question_id = 1"), saved, f"{tmp_path}/gone", images, save=save)
+    assert [r.status for r in again.collect()] == ["success"] and saved.count() == 2
