@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import cache, embed, generate
 from ..operators import elements, graph, qa, search, vectors
-from ..sources import objects, store
+from ..sources import collections, objects, store
 from . import fixtures as fx
 from .fixtures import table, with_
 
@@ -186,6 +186,70 @@ def _(spark, sf):
     return vectors.scroll(fx.points(spark, sf), after=99, limit=100).select("point_id", "collection", "file_hash", "element_index")
 
 
+# The same as changes of a stored collection, of which only the touched buckets are written.
+
+
+def _kept(spark, sf):
+    """All points in a new store, in the collections a and b; its root, and the points."""
+    root, points = shared.folder(spark, "collections"), fx.points(spark, sf)
+    collections.create(spark, root, _collections(spark, sf).select("name", F.lit(64).cast("long").alias("vector_size"), F.lit("COSINE").alias("distance")))
+    collections.upsert(root, points.withColumn("batch", F.lit(0)), buckets=16)
+    return root, points
+
+
+_STORED_WANTED = with_("points", then=_WANTED)
+
+
+@query("stored_create", _STORED_WANTED + "select name, vector_size, distance from wanted where name not in (select collection from points) union all select distinct collection, 64, 'COSINE' from points")
+def _(spark, sf):
+    """What the catalog holds after collections were asked for, some of which are there."""
+    root, _ = _kept(spark, sf)
+    collections.create(spark, root, _wanted(spark, sf))
+    return collections.catalog(spark, root)
+
+
+@query("stored_drop", _STORED_WANTED + """select name, coalesce(n, 0)::bigint as points_count from (select collection as name from points union select name from wanted)
+  left join (select collection as name, count(*) as n from points group by collection) using (name) where name not in ('a', 'c2')""")
+def _(spark, sf):
+    """The collections and points that are left after two collections were dropped, and one that isn't there."""
+    root, points = _kept(spark, sf)
+    collections.create(spark, root, _wanted(spark, sf))
+    collections.drop(spark, root, points.limit(1).select(F.explode(F.array(F.lit("a"), F.lit("c2"), F.lit("nowhere"))).alias("name")))
+    return vectors.list_collections(collections.catalog(spark, root), collections.points(spark, root, points))
+
+
+@query(
+    "stored_upsert",
+    with_("points") + """select collection, point_id, case when point_id % 50 = 0 then element_index + 2000 else element_index end as element_index from points
+      union all select collection, point_id + 1000000, element_index from points where point_id % 100 = 1""",
+)
+def _(spark, sf):
+    root, points = _kept(spark, sf)
+    changed = lambda n, batch: points.where("point_id % 50 = 0").withColumn("element_index", F.col("element_index") + n).withColumn("batch", F.lit(batch))
+    new = points.where("point_id % 100 = 1").withColumn("point_id", F.col("point_id") + 1000000).withColumn("batch", F.lit(1))
+    collections.upsert(root, changed(2000, 2).unionByName(changed(1000, 1)).unionByName(new), buckets=16)
+    return collections.points(spark, root, points).select("collection", "point_id", "element_index")
+
+
+@query("stored_delete", with_("points") + f"select collection, point_id from points where point_id not in ({_IDS}) and point_id % 64 <> 7")
+def _(spark, sf):
+    root, points = _kept(spark, sf)
+    collections.delete(root, points.where("file_hash = '3' or point_id % 64 = 7"), points, buckets=16)
+    return collections.points(spark, root, points).select("collection", "point_id")
+
+
+@query(
+    "stored_payload",
+    with_("points") + "select collection, point_id, case when point_id % 3 = 0 then 'new' else file_hash end as file_hash, case when point_id % 6 = 0 then -1 else element_index end as element_index from points",
+)
+def _(spark, sf):
+    root, points = _kept(spark, sf)
+    updates = points.where("point_id % 3 = 0").select("collection", "point_id", F.lit("new").alias("file_hash"), F.when(F.col("point_id") % 6 == 0, -1).cast("long").alias("element_index"))
+    nowhere = points.where("point_id % 9 = 0").select("collection", (F.col("point_id") + 5000000).alias("point_id"), F.lit("none").alias("file_hash"), F.lit(None).cast("long").alias("element_index"))
+    collections.update_payload(root, updates.unionByName(nowhere), ["file_hash", "element_index"], points, buckets=16)
+    return collections.points(spark, root, points).select("collection", "point_id", "file_hash", "element_index")
+
+
 # Search: every point whose id divides by 20 asks all points.
 
 _SCORES = {
