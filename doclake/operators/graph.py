@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
+
 ROOT = -1
 CONTENT = ("text", "table", "image")
 
@@ -73,32 +75,79 @@ def parent_edges_by_level(nodes: DataFrame, doc: str = "doc_id", level: str = "l
     return seen.select(doc, F.lit("PARENT").alias("rel"), nearest.cast("long").alias("src"), F.col("node_id").alias("dst"))
 
 
+def _nested(stack: list[tuple], size: float | None, tolerance: float) -> None:
+    """Close the open headers (node, key) that a header of this key closes."""
+    while size is not None and stack and not size > stack[-1][1] + tolerance:
+        stack.pop()
+
+
 def parent_edges_by_key(nodes: DataFrame, doc: str = "doc_id", key: str = "key", tolerance: float = 1.0) -> DataFrame:
     """The stack rule: a header (key not null) nests under the last open one whose key is smaller by more than the tolerance, and
     closes those that aren't; content (key null) hangs under the last open header.
 
-    With a tolerance that isn't the nearest header with a smaller key, since what was closed stays closed. One walk over rows
-    sorted by document and node, which holds the open headers of one document.
+    With a tolerance that isn't the nearest header with a smaller key, since what was closed stays closed. Nodes are cut into slices in their
+    order, whatever a document's length. What a slice does to the headers that are open before it is a small summary: the least key that it
+    compares with them, which says how many stay, and the headers that it leaves open. Summaries, one a slice, are put together in order;
+    then each slice is walked with the headers that are open where it begins. On open headers keys grow by more than the tolerance.
     """
-    kind = nodes.schema[doc].dataType.simpleString()
+    spark, kind = nodes.sparkSession, nodes.schema[doc].dataType.simpleString()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select(doc, F.col("node_id").cast("long").alias("node_id"), F.col(key).cast("double").alias("key_"))
+    dealt = shared.written(rows.repartitionByRange(width, doc, "node_id").withColumn("slice", F.spark_partition_id()), "slices")
+    slices = dealt.select("slice", doc, "node_id", "key_").repartition(width, "slice").sortWithinPartitions("slice", doc, "node_id")
+
+    def summaries(batches):
+        last, first, own, stack, least = None, None, None, [], None
+
+        def out() -> pa.RecordBatch:
+            values = [[last], [first], [own], [least], [[n for n, _ in stack]], [[k for _, k in stack]]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["slice", "first", "last", "least", "open_nodes", "open_keys"])
+
+        types = None
+        for batch in batches:
+            types = types or [pa.int32(), batch.column(1).type, batch.column(1).type, pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+            for at, own_doc, node, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != last:
+                    if last is not None:
+                        yield out()
+                    last, first, own, stack, least = at, own_doc, own_doc, [], None
+                elif own_doc != own:
+                    own, stack, least = own_doc, [], None
+                if size is not None:
+                    _nested(stack, size, tolerance)
+                    if not stack:
+                        least = size if least is None else min(least, size)
+                    stack.append((node, size))
+        if last is not None:
+            yield out()
+
+    # One row a slice, which holds the headers that are open at its end.
+    found = slices.mapInArrow(summaries, f"slice int, first {kind}, last {kind}, least double, open_nodes array<long>, open_keys array<double>").collect()
+    begin, own, stack = {}, None, []
+    for r in sorted(found, key=lambda r: r.slice):
+        if r.first != own:
+            stack = []
+        begin[r.slice] = list(stack)
+        left = [x for x in stack if r.least is None or r.least > x[1] + tolerance] if r.first == r.last else []
+        own, stack = r.last, left + list(zip(r.open_nodes, r.open_keys))
+    known = spark.sparkContext.broadcast(begin)
 
     def walk(batches):
-        last, stack = None, []
+        last, own, stack = None, None, []
         for batch in batches:
             out = []
-            for own, node, size in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != last:
-                    last, stack = own, []
-                if size is not None:
-                    while stack and not size > stack[-1][1] + tolerance:
-                        stack.pop()
+            for at, own_doc, node, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != last:
+                    last, own, stack = at, own_doc, list(known.value[at])
+                elif own_doc != own:
+                    own, stack = own_doc, []
+                _nested(stack, size, tolerance)
                 out.append(stack[-1][0] if stack else ROOT)
                 if size is not None:
                     stack.append((node, size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), batch.column(1)], names=[doc, "src", "dst"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64()), batch.column(2)], names=[doc, "src", "dst"])
 
-    rows = nodes.select(doc, F.col("node_id").cast("long"), F.col(key).cast("double")).repartition(doc).sortWithinPartitions(doc, "node_id")
-    return rows.mapInArrow(walk, f"{doc} {kind}, src long, dst long").select(doc, F.lit("PARENT").alias("rel"), "src", "dst")
+    return slices.mapInArrow(walk, f"{doc} {kind}, src long, dst long").select(doc, F.lit("PARENT").alias("rel"), "src", "dst")
 
 
 def add_documents(nodes: DataFrame, edges: DataFrame, new: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -124,10 +173,23 @@ def status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counted.unionByName(edges.groupBy(F.lit("edge").alias("what"), F.col("rel").alias("name")).agg(F.count("*").alias("n")))
 
 
-def order_path(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Each node and how many ORDER steps it is from its document."""
-    depth = F.row_number().over(Window.partitionBy(doc).orderBy("node_id"))
-    return nodes.where(F.col("node_id") != ROOT).select(doc, "node_id", depth.cast("long").alias("depth"))
+def order_path(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Each node that ORDER edges reach from its document, and in how many steps. A node has one ORDER edge to it.
+
+    Pointer jumping: what a node points at is replaced by what that points at, and steps are added, so a chain of n nodes takes log2(n) rounds.
+    What hangs on a missing node, or on a circle, isn't reached.
+    """
+    spark = edges.sparkSession
+    hops = shared.written(edges.where("rel = 'ORDER'").select(doc, F.col("dst").alias("node_id"), F.col("src").alias("up"), F.lit(1).cast("long").alias("depth")), "hops")
+    for _ in range(max(1, hops.count()).bit_length()):
+        going = hops.where(F.col("up") != ROOT)
+        if going.isEmpty():
+            break
+        further = hops.select(doc, F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        jumped = going.join(further, [doc, "up"]).select(doc, "node_id", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        before, hops = hops, shared.written(hops.where(F.col("up") == ROOT).unionByName(jumped), "hops")
+        shared.delete(spark, before.inputFiles()[0].rpartition("/")[0])
+    return hops.where(F.col("up") == ROOT).select(doc, "node_id", "depth")
 
 
 def section_members(nodes: DataFrame, edges: DataFrame, doc: str = "doc_id") -> DataFrame:

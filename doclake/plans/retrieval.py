@@ -494,7 +494,13 @@ def _(spark, sf):
 
 @query("order_path", with_("elements", then=_NODES) + "select doc_id, node_id, node_id + 1 as depth from nodes")
 def _(spark, sf):
-    return graph.order_path(_nodes(spark, sf))
+    return graph.order_path(graph.order_edges(_nodes(spark, sf)))
+
+
+@query("order_path_after_removal", with_("elements", then=_NODES) + "select doc_id, node_id, row_number() over (partition by doc_id order by node_id) as depth from nodes where node_id % 5 <> 2")
+def _(spark, sf):
+    """Every fifth node was taken out, so depths aren't numbers of nodes."""
+    return graph.order_path(graph.order_edges(_nodes(spark, sf).where("node_id % 5 <> 2")))
 
 
 @query(

@@ -254,3 +254,49 @@ def test_clients_embed_in_batches(spark):
 
     with pytest.raises(Exception, match="no service"):
         df.select(embed.client_udf(broken)(F.col("text"))).collect()
+
+
+def _stack_keys(keys, tolerance):
+    out, stack = [], []
+    for k, key in enumerate(keys):
+        while key is not None and stack and not key > stack[-1][1] + tolerance:
+            stack.pop()
+        out.append(stack[-1][0] if stack else -1)
+        if key is not None:
+            stack.append((k, key))
+    return out
+
+
+def test_stack_rule_over_slices(spark):
+    """3,000 random lists, some of which are cut by slices, against the plain stack."""
+    rng = random.Random(4)
+    docs = [[rng.choice([None, None, rng.random() * 9, rng.randrange(6)]) for _ in range(rng.choice([0, 1, 5, 12, 400 if k % 100 == 0 else 3]))] for k in range(3000)]
+    rows = [(d, k, None if key is None else float(key)) for d, own in enumerate(docs) for k, key in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, node_id long, key double").repartition(5)
+    for tolerance in (0.0, 1.0):
+        got = {(r.doc_id, r.dst): r.src for r in graph.parent_edges_by_key(df, tolerance=tolerance).collect()}
+        assert got == {(d, k): p for d, own in enumerate(docs) for k, p in enumerate(_stack_keys(own, tolerance))}
+
+
+def test_stack_rule_of_one_long_document(spark):
+    """A million nodes of one document, over several tasks; headers of the first slice stay open to the last."""
+    n = 1_000_000
+    key = lambda k: 0.0 if k == 5 else 2.0 if k == 6 else None if k * 7919 % 13 else float(4 + k * 104729 % 31)
+    x = F.when(F.col("id") == 5, 0.0).when(F.col("id") == 6, 2.0).when(F.col("id") * 7919 % 13 != 0, None).otherwise((4 + F.col("id") * 104729 % 31).cast("double"))
+    df = spark.range(n).select(F.lit("one").alias("doc_id"), F.col("id").alias("node_id"), x.alias("key"))
+    found = graph.parent_edges_by_key(df)
+    got = found.select("dst", "src").toArrow()
+    parents = dict(zip(got["dst"].to_pylist(), got["src"].to_pylist()))
+    want = _stack_keys(map(key, range(n)), 1.0)
+    assert len(parents) == n and all(parents[k] == p for k, p in enumerate(want)) and 6 in want[-1000:]
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_paths_of_broken_chains(spark):
+    """Depths follow edges, whatever the nodes' numbers; what hangs on a missing node or a circle isn't reached."""
+    chain = [("a", "ORDER", -1, 40), ("a", "ORDER", 40, 7), ("a", "ORDER", 7, 9), ("a", "ORDER", 8, 3), ("a", "ORDER", 3, 4), ("a", "PARENT", 4, 5), ("b", "ORDER", 1, 2), ("b", "ORDER", 2, 1), ("b", "ORDER", -1, 0)]
+    chain += [("long", "ORDER", k - 1, k) for k in range(300)]
+    edges = spark.createDataFrame(chain, "doc_id string, rel string, src long, dst long").repartition(3)
+    want = {("a", 40, 1), ("a", 7, 2), ("a", 9, 3), ("b", 0, 1)} | {("long", k, k + 1) for k in range(300)}
+    assert {tuple(r) for r in graph.order_path(edges).collect()} == want
+    assert graph.order_path(edges.limit(0)).collect() == []
