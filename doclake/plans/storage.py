@@ -15,6 +15,7 @@ from .retrieval import _EDGES, _NODES
 QUERIES = {}
 SQL = {
     "incremental_ingest": "select distinct md5(text) as file_hash, strlen(text)::bigint as size from documents where doc_id % 11 <> 0 and text <> ''",
+    "scroll_ranges": with_("points") + "select point_id, collection, file_hash, element_index from points where point_id > 99 order by point_id limit 100",
     "write_objects": with_("uploads") + "select 'pdfs/' || arrival || '_' || filename as path, md5(content) as file_hash from uploads",
     "write_results": with_("lines") + "select file_hash, count(*) as n_lines from lines group by file_hash",
     "write_graph": with_("elements", then=f"{_NODES}, {_EDGES}") + "select doc_id, rel, src, dst from edges",
@@ -46,8 +47,10 @@ def _(spark, sf):
 
 @_query("write_objects")
 def _(spark, sf):
+    """Written twice, as by a run that was repeated: once."""
     own = folder(spark)
-    sinks.write_objects(fx.uploads(spark, sf).select(F.concat(F.lit("pdfs/"), F.col("arrival").cast("string"), F.lit("_"), "filename").alias("path"), "content"), own)
+    for _ in range(2):
+        sinks.write_objects(fx.uploads(spark, sf).select(F.concat(F.lit("pdfs/"), F.col("arrival").cast("string"), F.lit("_"), "filename").alias("path"), "content"), own)
     return spark.read.parquet(own).select("path", F.md5("content").alias("file_hash"))
 
 
@@ -70,4 +73,12 @@ def _(spark, sf):
 def _(spark, sf):
     own = folder(spark)
     sinks.write_records(elements.explode_records(fx.elements(spark, sf), fx.images(spark, sf)).select("file_hash", "element_index", "part", "element_type", "content"), own)
-    return spark.read.schema("file_hash string, element_index long, part string, element_type string, content string, key string, bucket int").json(own).drop("bucket")
+    return spark.read.schema("file_hash string, element_index long, part string, element_type string, content string, key string, bucket int").json(own).drop("bucket", "batch")
+
+
+@_query("scroll_ranges")
+def _(spark, sf):
+    """The page of scroll_points from points that are laid out by ranges of ids."""
+    own, points = folder(spark), fx.points(spark, sf)
+    sinks.write_ranges(points, own, files=16)
+    return sinks.scroll(spark, own, points, after=99, limit=100).select("point_id", "collection", "file_hash", "element_index")
