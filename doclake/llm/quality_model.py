@@ -3,12 +3,13 @@
 Inputs of a text: its words, stripped of what is no letter or digit, in lower case and hashed to BUCKETS; the words as they stand, hashed
 to as many others; and measures of its structure. Every pair of inputs interacts through vectors of FACTORS numbers.
 The sum over pairs is taken as half of (sum of v x) squared less the sum of (v x) squared, so scoring takes time in
-proportion to a text's inputs. It is fitted by adaptive gradient steps on at most SAMPLE labelled rows, those with the
-smallest hash of their id; of each at most INPUTS words (the commonest) come to the driver, 400 MB in all at the most and some
-12 MB as a rule. Every row is scored where it is, with all its words.
+proportion to a text's inputs. It is fitted by adaptive gradient steps on at most SAMPLE labelled texts, in the order of the
+hash of their id, and no more when ENTRIES inputs have come to the driver (256 MB; some 50 MB as a rule). A text is fitted with the inputs
+with which it is scored, all of them. Every row is scored where it is.
 
 Null or empty texts have the structure of an empty text and are scored. Without any labelled row the score is 0.5. Rows whose
-label is null are not learned from; of several labels of one id the largest counts, and each row of that id is learned from.
+label is null are not learned from; of several labels of one id the largest counts, of several texts the one with the least digest.
+Equal hashes go by id, so two fits agree.
 Repeated rows have one score. Whole texts are read, very long ones too. A clashing column name gets underscores. An empty table gives an
 empty table.
 """
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, fresh
 
-BUCKETS, FACTORS, SAMPLE, INPUTS = 1 << 15, 8, 8000, 4096
+#: The fit takes so many labelled texts at most, and no more when these have so many inputs.
+SAMPLE, ENTRIES = 8000, 1 << 25
+BUCKETS, FACTORS = 1 << 15, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.08, 1e-5, 11
 MEASURES = 14
 SIZE = 2 * BUCKETS + MEASURES
@@ -62,8 +65,8 @@ def measures(text: bytes, words: list[bytes]) -> np.ndarray:
     )
 
 
-def inputs(text: bytes | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's inputs: where, and how much. Each kind of words has length 1. most: so many of either kind, the commonest."""
+def inputs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's inputs: where, and how much; at most SIZE, however long it is. Each kind of words has length 1."""
     text = text or b""
     words = text.split()
     at, x = [], []
@@ -71,9 +74,6 @@ def inputs(text: bytes | None, most: int | None = None) -> tuple[np.ndarray, np.
     for k, own in enumerate(([w.strip(_STRIP).lower() for w in words], words)):
         if own:
             found, counts = np.unique(np.fromiter(map(zlib.crc32, own), np.int64, len(own)) & mask, return_counts=True)
-            if most is not None and len(found) > most:
-                kept = np.sort(np.argsort(-counts, kind="stable")[:most])
-                found, counts = found[kept], counts[kept]
             at.append(found + k * BUCKETS)
             x.append(counts / np.sqrt((counts * counts).sum()))
     at.append(np.arange(2 * BUCKETS, SIZE))
@@ -133,25 +133,38 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, se
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE, epochs: int = EPOCHS) -> Machine:
-    """Fit on at most `sample` rows of labels that are in docs; labels above 0 are 1."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y, at, x, place): the inputs of at most `sample` texts of labels that are in docs, and the order in which they are taken.
+
+    Labels are taken by the hash of their id; of texts that share an id the one with the least digest. labels above 0 are 1."""
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), (labels[label_col] > 0).cast("int").alias("y")).where("y is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    # `sample` ids of two numbers.
+    own = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.sha2("text", 256)).alias("text"))
 
     def of(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [inputs(t, INPUTS // 2) for t in as_bytes(batch.column(1))]
+            found = [inputs(t) for t in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.astype(np.float16).tobytes() for _, b in found], pa.binary())],
+                [batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())],
                 names=["doc_id", "y", "at", "x"],
             )
 
-    # `sample` ids of two numbers; more rows than that come back only where ids are repeated.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(of, "doc_id long, y int, at binary, x binary").limit(sample)
-    got = sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in rows.toLocalIterator()))
-    return fit([(np.frombuffer(a, np.int32), np.frombuffer(x, np.float16).astype(np.float32), y) for _, y, a, x in got], epochs)
+    return own.mapInArrow(of, "doc_id long, y int, at binary, x binary").withColumn("place", F.xxhash64("doc_id"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE, epochs: int = EPOCHS, entries: int = ENTRIES) -> Machine:
+    """Fit on labelled() rows: whole texts in their order, until these have `entries` inputs."""
+    rows, have = [], 0
+    for r in labelled(docs, labels, id_col, text_col, label_col, sample).orderBy("place", "doc_id").select("y", "at", "x").toLocalIterator():
+        at = np.frombuffer(bytes(r.at), np.int32)
+        have += len(at)
+        if have > entries:
+            break
+        rows.append((at, np.frombuffer(bytes(r.x), np.float32), r.y))
+    return fit(rows, epochs)
 
 
 def score(docs: DataFrame, model: Machine, text_col="text", out="score") -> DataFrame:

@@ -742,6 +742,23 @@ def test_quality_model_of_odd_rows(odd, empty, spark):
     assert quality_model.score(empty, none).count() == 0
 
 
+def test_fit_and_score_have_the_same_inputs(spark):
+    """A text of 10,000 different words is fitted as it is scored; ids that repeat give one text; two fits agree; entries bound the rows."""
+    long = " ".join(f"w{k}x" for k in range(10_000))
+    docs = spark.createDataFrame([(1, long), (2, "short words"), (3, None), (4, "one"), (4, "other"), (5, "not labelled")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (4, 0), (None, 1)], "doc_id long, quality int")
+    rows = {r.doc_id: (np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.x), np.float32), r.y) for r in quality_model.labelled(docs, labels).collect()}
+    least = min(("one", "other"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for i, t, y in ((1, long, 1), (2, "short words", 0), (3, None, 0), (4, least, 1)):
+        at, x = quality_model.inputs(t.encode() if t else None)
+        assert np.array_equal(rows[i][0], at) and np.array_equal(rows[i][1], x) and rows[i][2] == y
+    assert len(rows) == 4 and len(rows[1][0]) > 15_000
+    a, b = quality_model.learn(docs, labels), quality_model.learn(docs.repartition(5), labels.repartition(2))
+    assert a.bias == b.bias and np.array_equal(a.weights, b.weights) and np.array_equal(a.vectors, b.vectors)
+    few = quality_model.learn(docs, labels, entries=10)
+    assert not np.array_equal(few.weights, a.weights)
+
+
 # 10
 
 
