@@ -7,7 +7,8 @@ documents of which more than max_coverage is hit.
 
 Words: A-Z in lower case, then runs of what is neither ASCII punctuation, blank nor control. Null or empty texts have no
 words and stay as they are; items without words are never found; items that repeat are all reported. Null item ids are not
-reported, but their windows count. Repeated rows are judged each; very long texts are read whole. Empty tables: no documents, or none hit.
+reported, but their windows count. Ties: windows that overlap, or are in several items, hit a word once, and every item with one is
+named. Repeated rows are judged each; very long texts are read whole. Empty tables: no documents, or none hit.
 
 Items are read in blocks of at most BLOCK words, one automaton each. With several, the documents are read once for each, so that
 a worker holds one automaton (some 120 MB) however long the test set is, and what they found is joined by row.

@@ -7,7 +7,8 @@ second filter suspects are shuffled, as 128-bit digests, to confirm the repeat a
 filter is too large to broadcast, digests meet their slice of it first.) Texts move once, to meet their own drop list.
 
 Null or empty text: one empty line, kept. Null id: the largest id. Rows that share an id are one document to the choice
-of the first, and each is written. A line within one document only is never dropped, however often it is there.
+of the first, and each is written. A line within one document only is never dropped, however often it is there. Very long texts are split
+whole, and their keys met once each. An empty table gives an empty table; a clashing column name gets underscores.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the cell gives only a star for each of its own components, not its pairs. A cell
 the same argument over the fingerprints' bits, those that are still open, in six groups: 20 inner cells, which fix half of the open
 bits each. That is repeated while a cell is too large; with 11 open bits or fewer none can be.
 
-Only distinct fingerprints take part; copies join their component at the end. Null, empty or blank texts have
+A bit that exactly half of the hashes have set is 0; a shingle that is there twice counts twice. Only distinct fingerprints take part; copies
+join their component at the end, and of ids that tie for the smallest there is one component. Null, empty or blank texts have
 fingerprint zero, like any other. Null id: the largest, null in results. Repeated rows get the same component. Very long texts are
 hashed whole, at 16 bytes and a bit row a shingle. An empty table gives an empty table; other columns, whatever their names, pass by.
 """
