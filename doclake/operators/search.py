@@ -225,7 +225,7 @@ def build(points: DataFrame, distance: str = "COSINE", cells: int | None = None,
     norm = (norm or 0.0) * (1 + 1e-12)
     cells = min(n, cells_for(n, size or 1) if cells is None else cells)
     centroids = fit(points, cells, distance, norm, n, **options) if n else np.zeros((0, 1))
-    shape, known = centroids.shape, spark.sparkContext.broadcast(centroids)
+    known = spark.sparkContext.broadcast(centroids)
 
     def assign(batches) -> Iterator[pa.RecordBatch]:
         c = known.value
@@ -242,10 +242,13 @@ def build(points: DataFrame, distance: str = "COSINE", cells: int | None = None,
 
     assigned = shared.written(points.mapInArrow(assign, "cell long, point_id long, vector array<double>, far double"), "assigned")
     blocks(assigned, "cell", "point_id", "vector", path=f"{folder}/blocks")
-    far = assigned.groupBy("cell").agg(F.max("far").alias("radius"))
-    rows = [(int(k), c.tolist()) for k, c in enumerate(centroids)]
-    spark.createDataFrame(rows, "cell long, centroid array<double>").join(far, "cell", "left").select("cell", "centroid", F.coalesce("radius", F.lit(-1.0)).alias("radius"), F.lit(distance).alias("distance"), F.lit(norm).alias("norm")).write.parquet(f"{folder}/cells")
-    assert shape[0] == len(rows)
+    # One row a cell; a cell without points has no radius.
+    radii = np.full(len(centroids), -1.0)
+    far = assigned.groupBy("cell").agg(F.max("far").alias("radius")).toArrow()
+    radii[far["cell"].to_numpy()] = far["radius"].to_numpy()
+    lists = pa.ListArray.from_arrays(np.arange(len(centroids) + 1, dtype=np.int32) * centroids.shape[1], centroids.ravel())
+    table = pa.table({"cell": np.arange(len(centroids)), "centroid": lists, "radius": radii})
+    spark.createDataFrame(table).select("*", F.lit(distance).alias("distance"), F.lit(norm).alias("norm")).write.parquet(f"{folder}/cells")
     return opened(spark, folder)
 
 
