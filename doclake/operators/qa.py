@@ -113,10 +113,16 @@ def prompts(found: DataFrame) -> DataFrame:
     return rows.select("question_id", "question", F.concat(F.array(part("text", F.lit(SYSTEM), none)), pictures, last).alias("messages"))
 
 
-def ask(questions: DataFrame, points: DataFrame, images: DataFrame, limit: int = 10, use_llm: bool = True, model=generate.first_line) -> DataFrame:
-    """question_id, question, n_answers, context and, if asked for, answer and error."""
-    found = attach_images(answers(questions, points, limit), images)
+def asked(questions: DataFrame, found: DataFrame, use_llm: bool = True, model=generate.first_line) -> DataFrame:
+    """question_id, question, n_answers, context and, if asked for, answer and error; found: answers with their pictures."""
+    if use_llm:
+        found = shared.written(found, "answers")  # contexts and prompts read it
     out = questions.select("question_id", "question").join(contexts(found).drop("question"), "question_id", "left")
     if use_llm:
         out = out.join(generate.llm_answer(prompts(found), "question_id", model=model), "question_id", "left")
     return out.withColumn("n_answers", F.coalesce("n_answers", F.lit(0)))
+
+
+def ask(questions: DataFrame, points: DataFrame, images: DataFrame, limit: int = 10, use_llm: bool = True, model=generate.first_line) -> DataFrame:
+    """Questions answered from the points of their files, end to end."""
+    return asked(questions, attach_images(answers(questions, points, limit), images), use_llm, model)

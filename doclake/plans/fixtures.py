@@ -50,9 +50,13 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def images(spark: SparkSession, sf: str) -> DataFrame:
+def images_of(elements_: DataFrame) -> DataFrame:
     """Images that were stored."""
-    return elements(spark, sf).where("type = 'image' and element_index % 5 <> 0").select("img_path").distinct()
+    return elements_.where("type = 'image' and element_index % 5 <> 0").select("img_path").distinct()
+
+
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    return images_of(elements(spark, sf))
 
 
 def objects(spark: SparkSession, sf: str) -> DataFrame:

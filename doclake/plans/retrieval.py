@@ -535,14 +535,13 @@ def _points(rows):
 
 
 def _answers(spark, sf):
-    """Every document is embedded, and asked for its own first line; a question is about one document, not about its copies."""
+    """(questions, points, answers, pictures). Every document is embedded, and asked for its own first line; a question is about one document,
+    not about its copies. Elements are taken from the documents once, and written: records, pictures and payloads come from there."""
     asked = fx.questions(spark, sf).withColumn("file_hash", F.col("doc_id").cast("string"))
-    points = _points(_records(spark, sf))
-    return asked, points, qa.answers(asked, points, 5)
-
-
-def _images(spark, sf):
-    return fx.images(spark, sf).withColumn("content", F.col("img_path").cast("binary"))
+    taken = shared.written(fx.elements(spark, sf), "elements")
+    pictures = fx.images_of(taken)
+    points = _points(elements.explode_records(taken, pictures))
+    return asked, points, qa.answers(asked, points, 5), pictures.withColumn("content", F.col("img_path").cast("binary"))
 
 
 _INDEXED_SQL = """select question_id, case when indexed then 'success' else 'error' end as status, indexed, case when indexed then n else 0 end::bigint as n_points
@@ -610,13 +609,13 @@ def _(spark, sf):
 _PICTURES_SQL = "select question_id, rank, case when element_type in ('image', 'table') and img_path in (select img_path from images) then base64(encode(img_path)) end as image_base64 from answers"
 
 
-def _pictures(spark, sf, found):
-    return qa.attach_images(found, _images(spark, sf)).select("question_id", F.col("rank").cast("long").alias("rank"), "image_base64")
+def _pictures(found, pictures):
+    return qa.attach_images(found, pictures).select("question_id", F.col("rank").cast("long").alias("rank"), "image_base64")
 
 
 @query("attach_images", with_("questions", "records", then=_ANSWERS) + _PICTURES_SQL)
 def _(spark, sf):
-    return _pictures(spark, sf, _answers(spark, sf)[2])
+    return _pictures(*_answers(spark, sf)[2:])
 
 
 _CONTEXT_SQL = "select question_id, string_agg(content, chr(10) || chr(10) order by rank) as context, count(*) as n_answers from answers group by question_id"
@@ -639,19 +638,19 @@ _PROMPT_SQL = f""", parts as (
       select question_id, row_number() over (partition by question_id order by k) - 1 as part, type, text, url from parts"""
 
 
-def _prompts(spark, sf, found):
-    rows = qa.prompts(qa.attach_images(found, _images(spark, sf))).select("question_id", F.posexplode("messages").alias("part", "m"))
+def _prompts(found, pictures):
+    rows = qa.prompts(qa.attach_images(found, pictures)).select("question_id", F.posexplode("messages").alias("part", "m"))
     return rows.select("question_id", F.col("part").cast("long").alias("part"), "m.type", "m.text", "m.url")
 
 
 @query("build_prompt", with_("questions", "records", then=_ANSWERS) + _PROMPT_SQL)
 def _(spark, sf):
-    return _prompts(spark, sf, _answers(spark, sf)[2])
+    return _prompts(*_answers(spark, sf)[2:])
 
 
 @query("llm_answer", with_("questions", "records", then=_ANSWERS) + f"select question_id, string_split(context, chr(10))[1] as answer, null::varchar as error from ({_CONTEXT_SQL})")
 def _(spark, sf):
-    found = qa.attach_images(_answers(spark, sf)[2], _images(spark, sf))
+    found = qa.attach_images(*_answers(spark, sf)[2:])
     return generate.llm_answer(qa.prompts(found), "question_id")
 
 
@@ -662,8 +661,8 @@ def _(spark, sf):
       from questions left join ({_CONTEXT_SQL}) using (question_id)""",
 )
 def _(spark, sf):
-    asked, points, _ = _answers(spark, sf)
-    return qa.ask(asked, points, _images(spark, sf), 5)
+    asked, _, found, pictures = _answers(spark, sf)
+    return qa.asked(asked, qa.attach_images(found, pictures))
 
 
 # The names under which these were registered while the others asked a part of the documents.
