@@ -35,11 +35,13 @@ def _query(name):
 
 @_query("incremental_ingest")
 def _(spark, sf):
-    """Documents arrive as a stream of uploads, some files at a time."""
+    """Documents arrive as a stream of uploads, an eighth of the files at a time."""
     own = folder(spark)
     docs = f"{own}/arrived"
     table(spark, sf, "documents").select("doc_id", "text").write.parquet(docs)
-    rows = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 4).parquet(docs).where("text is not null")
+    # About eight batches, however many files there are.
+    per_batch = -(-len(spark.read.parquet(docs).inputFiles()) // 8)
+    rows = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", per_batch).parquet(docs).where("text is not null")
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 0, ".txt").otherwise(".pdf"))
     stream.run(rows.select(name.alias("filename"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("arrived")), f"{own}/files", f"{own}/state").awaitTermination()
     return spark.read.parquet(f"{own}/files").select("file_hash", "size")

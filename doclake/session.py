@@ -2,8 +2,9 @@
 
 from pyspark.sql import SparkSession
 
-#: chunkBase64String off: base64() without line ends.
+#: chunkBase64String off: base64() without line ends. Rows with contents are large, so batches that go to Python have a bound in bytes.
 SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
