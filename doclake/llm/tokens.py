@@ -58,11 +58,12 @@ class Encoder:
         self.mapped = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         self.lead = level.pre_tokenize_str(" ")[0][0] if self.blanks else ""
         self.line_end = self.whole("\n")
-        # Shares of MEMO.
-        self.pieces = _Pieces(self._after_blank if self.blanks else self._first, 0.7)
-        self.firsts = _Pieces(self._first, 0.2)
-        self.others = _Pieces(self.whole, 0.07)
-        self.marks = _Pieces(self.whole, 0.03)
+        # Shares of MEMO; of half of it where blanks are kept, since packing is a stage among others whose workers stay.
+        room = 0.5 if self.blanks else 1.0
+        self.pieces = _Pieces(self._after_blank if self.blanks else self._first, 0.7 * room)
+        self.firsts = _Pieces(self._first, 0.2 * room)
+        self.others = _Pieces(self.whole, 0.07 * room)
+        self.marks = _Pieces(self.whole, 0.03 * room)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
