@@ -25,6 +25,8 @@ GROUPS = 4096
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else every partition's store reserves megabytes of disk, however small it is.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 STORED = ("file_hash", "filename", "pdf_key", "result_key", "size", "content")
 
