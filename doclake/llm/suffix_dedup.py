@@ -18,6 +18,9 @@ start). Strings are judged on the input, as UTF-8 bytes, and never cross texts.
    several classes, their windows may still be shared in part, where a repeat begins or ends; the windows of such a run's
    earliest phrases are compared one by one. Phrases that are in no run repeat nothing.
 
+The order does not decide the result: pieces of a class that lie in several runs are put together by the hash of their prefix over all
+phrases, so the same bytes go whatever the names are, and a pair of unequal phrases with one hash would count as equal.
+
 Sorts are over distinct keys with their counts, in ranges that are drawn from the keys, and names come back by join_counted; a class is
 reduced to its least position before it is shuffled. So no key's rows meet in one task, however many they are. Hashes of
 64 bits stand for bytes where rows that the order has brought together are compared.

@@ -160,8 +160,8 @@ def test_suffix_dedup_of_random_passages(spark, crowded):
     assert suffix_rows(df, slices=1, crowded=crowded) == want
 
 
-def test_suffix_array_is_what_finds_repeats(spark, monkeypatch):
-    """Without the classes of neighbours nothing that a text shares with another is found."""
+def test_classes_are_what_finds_repeats(spark, monkeypatch):
+    """Without the classes of equal prefixes nothing that a text shares with another is found. (The order of the suffixes is not tested by this.)"""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
     shared = " ".join(word() for _ in range(80))
