@@ -477,7 +477,8 @@ def _positions(batches) -> Iterator[pa.RecordBatch]:
 def _classes(batches) -> Iterator[pa.RecordBatch]:
     """(prefix, least, rows, several) of each class in each run of neighbours with the same anchor.
 
-    several: the run has other classes too. That is held of a run's piece at either end of a batch, and of anchors that are dealt by name.
+    several: the run has other classes too. That is held of a run's piece at either end of a batch's rows of one kind, since a run of the
+    first order may go on in the next range of names, and of anchors that are dealt by name.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -489,7 +490,9 @@ def _classes(batches) -> Iterator[pa.RecordBatch]:
         by = np.lexsort((prefix, run))
         first = np.flatnonzero(np.concatenate([[True], (run[by][1:] != run[by][:-1]) | (prefix[by][1:] != prefix[by][:-1])]))
         own = run[by][first]
-        several = (np.bincount(own)[own] > 1) | (own == 0) | (own == run[-1]) | (kind[by][first] & 1 > 0)
+        change = kind[1:] != kind[:-1]
+        ends = run[np.concatenate([[True], change]) | np.concatenate([change, [True]])]
+        several = (np.bincount(own)[own] > 1) | np.isin(own, ends) | (kind[by][first] & 1 > 0)
         yield _arrow({"prefix": prefix[by][first], "least": np.minimum.reduceat(least[by], first), "rows": np.add.reduceat(rows[by], first), "several": several.astype(np.int32)})
 
 
@@ -527,10 +530,11 @@ def _parts(batches, length: int, gram: int) -> Iterator[pa.RecordBatch]:
             marks = {f >> 1: f & 1 for f in flags or ()}
             at, seen, run = stretch.at.tolist(), set(), None
             for k, prefix in enumerate(stretch.prefixes()):
-                if marks.get(k) or prefix in seen:
+                again = marks.get(k) or prefix in seen
+                seen.add(prefix)  # of equal phrases of a stretch the first alone is in the orders
+                if again:
                     run = k if run is None else run
                     continue
-                seen.add(prefix)
                 if run is not None:
                     out.append((0, 0, 0, doc, start + at[run], at[k] - at[run], None))
                     run = None

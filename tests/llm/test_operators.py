@@ -160,6 +160,25 @@ def test_suffix_dedup_of_random_passages(spark, crowded):
     assert suffix_rows(df, slices=1, crowded=crowded) == want
 
 
+def test_suffix_dedup_of_a_repeat_that_comes_again(spark):
+    """A text holds, several times in a row, what an earlier text has too."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared = some(70)
+    texts = [some(30) + shared, some(20) + shared * 3 + some(3), shared[100:] + shared * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert suffix_rows(df) == collections.Counter(without_repeats([(i, t.encode()) for i, t in enumerate(texts)], 100))
+
+
+def test_a_run_may_go_on_in_the_next_range():
+    """The last run of a range of names is not the last of a task, whose rows of other kinds come after it."""
+    columns = {"kind": [0, 0, 0, 2, 2, 4], "a": [5, 6, 7, 1 << 33, 2 << 33, 1 << 33], "b": [1 << 33, 2 << 33, 3 << 33, 0, 0, 0], "prefix": [1, 2, 3, 4, 5, 6], "least": [1] * 6, "rows": [1] * 6}
+    (found,) = suffix_dedup._classes([suffix_dedup._arrow({k: np.array(v) for k, v in columns.items()})])
+    several = dict(zip(found["prefix"].to_pylist(), found["several"].to_pylist()))
+    assert (several[1], several[2], several[3]) == (1, 0, 1)
+
+
 def test_classes_are_what_finds_repeats(spark, monkeypatch):
     """Without the classes of equal prefixes nothing that a text shares with another is found. (The order of the suffixes is not tested by this.)"""
     rng = random.Random(6)
