@@ -300,3 +300,24 @@ def test_paths_of_broken_chains(spark):
     want = {("a", 40, 1), ("a", 7, 2), ("a", 9, 3), ("b", 0, 1)} | {("long", k, k + 1) for k in range(300)}
     assert {tuple(r) for r in graph.order_path(edges).collect()} == want
     assert graph.order_path(edges.limit(0)).collect() == []
+
+
+def most_in_a_task(spark, df):
+    """Rows of the largest partition, where nothing is broadcast and small partitions aren't put together."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        return max(r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_elements_without_a_path_stay_apart(spark):
+    rows = [{"type": "text", "text": f"t{k}"} for k in range(2000)] + [{"type": "image", "img_path": f"p{k}"} for k in range(200)]
+    own = made(spark, rows).repartition(4, "element_index")
+    images = spark.createDataFrame([(f"p{k}",) for k in range(0, 200, 2)], "img_path string")
+    found = elements.explode_records(own, images)
+    assert found.count() == 2100 and most_in_a_task(spark, found) < 1000
