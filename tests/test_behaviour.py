@@ -321,3 +321,13 @@ def test_elements_without_a_path_stay_apart(spark):
     images = spark.createDataFrame([(f"p{k}",) for k in range(0, 200, 2)], "img_path string")
     found = elements.explode_records(own, images)
     assert found.count() == 2100 and most_in_a_task(spark, found) < 1000
+
+
+def test_answers_without_a_picture_stay_apart(spark):
+    rows = [(k, r, "image" if r == 1 and k % 2 else "text", f"p{k % 50}" if r == 1 else None) for k in range(500) for r in range(1, 5)]
+    found = spark.createDataFrame(rows, "question_id long, rank int, element_type string, img_path string").repartition(4)
+    images = spark.createDataFrame([(f"p{k}", b"x") for k in range(40)], "img_path string, content binary")
+    shown = qa.attach_images(found, images)
+    assert shown.columns == [*found.columns, "image_base64"] and shown.count() == 2000
+    assert shown.where("image_base64 is not null").count() == sum(k % 2 and k % 50 < 40 for k in range(500))
+    assert most_in_a_task(spark, shown) < 1000
