@@ -156,3 +156,17 @@ def test_answers_of_one_hot_file(spark):
         best = sorted((-round(v @ q / np.linalg.norm(v) / np.linalg.norm(q), 6), i * 4 + i % 3) for i, (g, v) in vec.items() if g == f)[:4]
         assert [(n, -s) for s, n in best] == [(n, s) for _, n, s, _ in sorted(out.get(k, []))]
         assert all(t == f"word{n // 4 % 50} word{n // 4 % 7} text" for _, n, _, t in out.get(k, []))
+
+
+def test_a_task_gives_few_vectors_at_a_time(spark, monkeypatch):
+    """Queries beside all their cells would be as large as both together."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=16).tolist()) for k in range(400)]
+    points = spark.createDataFrame(rows, "point_id long, vector array<double>")
+    asked = points.select(F.col("point_id").alias("query_id"), F.col("vector").alias("query"))
+    index = search.build(points, cells=20)
+    want = found(search.search(index, asked, 3, probes=2, exact=True))
+    monkeypatch.setattr(search, "OUT", 8 * 16 * 50)
+    sizes = search._probing(asked.coalesce(1), index, search._nearest(20), [])
+    assert sizes.count() == 400 * int((index.radii >= 0).sum())
+    assert found(search.search(index, asked, 3, probes=2, exact=True)) == want
