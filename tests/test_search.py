@@ -170,3 +170,39 @@ def test_a_task_gives_few_vectors_at_a_time(spark, monkeypatch):
     sizes = search._probing(asked.coalesce(1), index, search._nearest(20), [])
     assert sizes.count() == 400 * int((index.radii >= 0).sum())
     assert found(search.search(index, asked, 3, probes=2, exact=True)) == want
+
+
+def test_each_question_is_embedded_once(spark):
+    """The range by which questions are dealt is sampled from what is embedded, and not embedded again."""
+    asked = spark.createDataFrame([(k, f"word{k % 50}", f"f{k % 9}") for k in range(300)], "question_id long, question string, file_hash string")
+    points = asked.select("file_hash", F.col("question_id").alias("element_index"), F.lit(0).cast("long").alias("seq"), F.col("question").alias("text"), F.lit("text").alias("element_type"), embed.embed_text(F.col("question")).alias("vector"))
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        @F.udf("string")
+        def same_text(t):
+            n.add(1)
+            return t
+
+        return embed.embed_text(same_text.asNondeterministic()(text))
+
+    assert qa.answers(asked, points, 2, embedder=counted).where("rank = 1").count() == 300
+    assert n.value == 300
+
+
+def test_blocks_of_many_batches(spark):
+    """A block goes on from one batch to the next, and a key of many rows is cut; null keys and vectors are in none."""
+    rng = np.random.default_rng(9)
+    rows = [("long", k, rng.normal(size=3).tolist()) for k in range(5000)] + [(f"f{k // 3:04}", 5000 + k, rng.normal(size=3).tolist()) for k in range(600)]
+    points = spark.createDataFrame([*rows, (None, 9000, [1.0, 2.0, 3.0]), ("f0001", 9001, None)], "file_hash string, point_id long, vector array<float>")
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+        made = search.blocks(points, "file_hash", "point_id", "vector", chunk=F.lit(0)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+    assert sorted(len(r.ids) for r in made if r.file_hash == "long") == [904, 2048, 2048]
+    assert sorted(len(r.ids) for r in made if r.file_hash != "long") == [3] * 200
+    want = {k: (f, np.array(v, np.float32).astype(float)) for f, k, v in rows}
+    got = {i: (r.file_hash, v) for r in made for i, v in zip(r.ids, np.frombuffer(r.data).reshape(len(r.ids), -1))}
+    assert set(got) == set(want) and all(got[i][0] == f and (got[i][1] == v).all() for i, (f, v) in want.items())
