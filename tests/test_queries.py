@@ -38,6 +38,19 @@ def test_every_document_is_asked(spark, tmp_path):
     assert len({r.question_id for r in registry.queries()["llm_answer"](spark, str(tmp_path)).collect()}) == 61
 
 
+def test_files_of_equal_contents_are_their_own(spark, tmp_path):
+    """Of files with the same text one has nothing, one has points, one is indexed; each gets its own status and number of points."""
+    import duckdb
+
+    texts = [(64 * k + d, f"title {d}\nline {d}") for k in range(7) for d in range(3)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = registry.queries()["ask_from_store"](spark, str(tmp_path)).toPandas()
+    assert rows(found) == rows(con.sql(SQL["ask_from_store"]).df())
+    assert sorted(found.n_points) == [0, 0, 0, 6, 6, 6, 6]
+
+
 def test_rest_stands_alone():
     """Nothing outside the training-data subpackage imports it."""
     import pathlib
