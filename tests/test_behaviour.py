@@ -331,3 +331,40 @@ def test_answers_without_a_picture_stay_apart(spark):
     assert shown.columns == [*found.columns, "image_base64"] and shown.count() == 2000
     assert shown.where("image_base64 is not null").count() == sum(k % 2 and k % 50 < 40 for k in range(500))
     assert most_in_a_task(spark, shown) < 1000
+
+
+def test_elements_of_a_frequent_path_are_split(spark, tmp_path):
+    """Images that were written, and a path that most elements have: Spark deals its elements to several tasks."""
+    rows = [{"type": "image", "img_path": "hot" if k % 10 else f"p{k}"} for k in range(6000)]
+    made(spark, rows).repartition(16, "element_index").write.parquet(f"{tmp_path}/elements")
+    spark.createDataFrame([("hot",), *((f"p{k}",) for k in range(0, 6000, 20))], "img_path string").write.parquet(f"{tmp_path}/images")
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.openCostInBytes": "1m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = elements.explode_records(spark.read.parquet(f"{tmp_path}/elements"), spark.read.parquet(f"{tmp_path}/images"))
+        tasks = [r["n"] for r in found.where("img_path = 'hot' or img_path is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(tasks) == 5400 and max(tasks) < 2700
+        assert found.count() == 5700
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_points_are_gone_through_once_for_the_status(spark):
+    """What makes the points is evaluated for the files that are known, and not again for the status."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(x):
+        seen.add(1)
+        return x
+
+    result = made(spark, [{"type": "text", "text": "a"}]).withColumn("file_hash", F.lit("h2"))
+    images = spark.createDataFrame([], "img_path string")
+    points = spark.range(10).select(key.asNondeterministic()(F.lit("h")).alias("file_hash"), F.col("id").alias("element_index"), F.lit(0).cast("long").alias("seq"), F.lit("t").alias("text"), embed.embed_text(F.lit("t")).alias("vector"))
+    asked = spark.createDataFrame([(1, "h"), (2, "h2"), (3, "h3")], "question_id long, file_hash string")
+    status, _ = qa.index_missing(asked, points, result, images)
+    assert sorted(one(status.select("question_id", "status"))) == [(1, "success"), (2, "success"), (3, "error")]
+    assert seen.value == 10
