@@ -61,6 +61,50 @@ def test_contents(spark, root, monkeypatch):
     assert got == {"pdfs/3/19.txt": (19, b"x" * 19), "empty": (0, b""), "a b/ü*.txt": (2, "é".encode())}
 
 
+def test_folders_of_an_object_each_are_not_a_partition_each(tmp_path):
+    for k in range(3 * store.FOLDERS):
+        (tmp_path / "results" / str(k)).mkdir(parents=True)
+        (tmp_path / "results" / str(k) / "result.json").write_bytes(b"{}")
+    reader = store.ObjectReader(str(tmp_path))
+    list(reader.pushFilters([StringStartsWith(("path",), "results/")]))
+    parts = reader.partitions()
+    found = [[r["path"] for b in reader.read(p) for r in b.to_pylist()] for p in parts]
+    assert len(parts) == store.FOLDERS and max(map(len, found)) <= 4
+    assert sorted(k for part in found for k in part) == sorted(f"results/{k}/result.json" for k in range(3 * store.FOLDERS))
+
+
+def test_contents_are_read_by_many_tasks(spark, tmp_path):
+    """Keys are small whatever their objects are: Spark would put them together into one task."""
+    keys = [f"{k}.txt" for k in range(64)]
+    store.put(spark.createDataFrame([(k, b"x" * 1000) for k in keys], "path string, content binary"), str(tmp_path))
+    found = store.contents(spark.createDataFrame([(k,) for k in keys * 2], "path string"), str(tmp_path))
+    sizes = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 64 and len([n for n in sizes if n]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_contents_are_not_joined(spark, tmp_path, monkeypatch):
+    """Contents pass for as small as their keys, so a join of them would broadcast all files by way of the driver."""
+    import json
+
+    from doclake import shared
+    from doclake.operators import elements, qa
+    from pyspark.sql import functions as F
+
+    value = json.dumps({"results": {"result": {"results": {"content_list": [{"type": "text", "text": "one"}]}}}})
+    store.put(spark.createDataFrame([(f"results/h{k}_{k}.txt/result.json", value.encode()) for k in range(5)], "path string, content binary"), f"{tmp_path}/store")
+    images = spark.createDataFrame([], "img_path string")
+    known = elements.explode_elements(objects.parse_results(spark.createDataFrame([("h0", value)], "file_hash string, value string")))
+    points = elements.explode_records(known, images).select("file_hash", "element_index", "seq", F.col("content").alias("text"), "element_type", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    asked = spark.createDataFrame([(k, "one", f"h{k}") for k in (0, 1, 2, 9)], "question_id long, question string, file_hash string")
+    plans, whole = {}, shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name, path=None: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), whole(df, name, path))[1])
+    status, found = qa.index_from_store(asked, points, f"{tmp_path}/store", images)
+    above, _, below = plans["indexed"].partition("MapInArrow")
+    assert below and "Join" not in above, plans["indexed"]
+    assert {r.question_id: r.status for r in status.collect()} == {0: "success", 1: "success", 2: "success", 9: "error"}
+    assert sorted((r.file_hash, r.text) for r in found.collect()) == [("h0", "Text: one"), ("h1", "Text: one"), ("h2", "Text: one")]
+
+
 def test_put_again(spark, root, tmp_path):
     rows = spark.createDataFrame([("a/b", b"one"), ("a/c", b"two")], "path string, content binary")
     for _ in range(2):
