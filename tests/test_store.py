@@ -99,8 +99,8 @@ def test_contents_are_not_joined(spark, tmp_path, monkeypatch):
     plans, whole = {}, shared.written
     monkeypatch.setattr(shared, "written", lambda df, name, path=None: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), whole(df, name, path))[1])
     status, found = qa.index_from_store(asked, points, f"{tmp_path}/store", images)
-    above, _, below = plans["indexed"].partition("MapInArrow")
-    assert below and "Join" not in above, plans["indexed"]
+    above, _, below = plans["elements"].partition("MapInArrow")
+    assert below and "Join" not in above and "MapInArrow" not in plans["indexed"], plans
     assert {r.question_id: r.status for r in status.collect()} == {0: "success", 1: "success", 2: "success", 9: "error"}
     assert sorted((r.file_hash, r.text) for r in found.collect()) == [("h0", "Text: one"), ("h1", "Text: one"), ("h2", "Text: one")]
 
